@@ -77,9 +77,9 @@ with recursive w as (
   select distinct doc_id, array_to_string(words[i:i + 2], ' ') as gram from w, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as r(i) where len(words) > 0
 ), n as (select doc_id, count(*) as n from s group by doc_id
 ), common as (
-  select a.doc_id as x, b.doc_id as y, count(*) as both from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+  select a.doc_id as x, b.doc_id as y, count(*) as n2 from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all
 ), links as (
-  select x, y from common join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * both >= 90 * (nx.n + ny.n - both)
+  select x, y from common join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * n2 >= 90 * (nx.n + ny.n - n2)
 ), edges as (select x, y from links union all select y, x from links
 ), reach as (
   select doc_id as id, doc_id as root from n union select edges.y, reach.root from reach join edges on edges.x = reach.id
