@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, jaccard, language, pieces, secrets, substring
+from tidemark.llm import decontaminate, embeddings, jaccard, language, lines, lmscore, pieces, secrets, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10))
 
@@ -104,14 +112,23 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.root, w.doc_id) as c
 from w left join n using (doc_id) left join c on c.id = w.doc_id
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lm_score": op10_lm_score,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_secret_scan": secrets.sql()}
