@@ -25,7 +25,7 @@ def texts(seed, n=150):
     return rows + [(10_000, None), (10_001, ""), (10_002, " \t")]
 
 
-@pytest.mark.parametrize(("seed", "k", "num", "den"), [(1, 3, 90, 100), (2, 5, 80, 100))
+@pytest.mark.parametrize(("seed", "k", "num", "den"), [(1, 3, 90, 100), (2, 5, 80, 100)])
 def test_matches_brute_force(spark, seed, k, num, den):
     rows = texts(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

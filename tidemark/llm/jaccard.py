@@ -6,10 +6,11 @@
    one key for each bucket: a hash of the bucket's tokens.  Empty buckets would make keys that everyone shares: m is
    raised by an allowance for them, and only the few sets with more empty buckets than that announce them.
 3. Groups.  Sets that share a key are compared with the first of them; what is similar forms groups.
-4. Token-group matrix.  Where sets that share a key ended in different groups, the members' tokens are united by group:
-   rows (group, token).  The overlap of a set with a group's union bounds its overlap with every member; groups whose
-   bound falls short stay closed.
-5. Groups that qualify are opened: their members are verified one by one, and links unite the classes.
+4. Token-group matrix.  Where sets that share a key ended in different groups, a matrix holds the union of the tokens of
+   each group's members, hashed to a row of bits.  The cells of a set that a row lacks bound its overlap with every
+   member of the group; groups whose bound falls short stay closed.
+5. Groups that qualify are opened: members that the parities of their cells don't rule out are verified, first as many
+   as connect the groups of a key, then, under the groups this gives, every pair that is left.
 
 Nothing is capped: whatever the bound can't rule out is verified by its true intersection and union.
 
@@ -33,6 +34,8 @@ from tidemark.llm.textcore import SPACED_LOWER, U64, Words, buffers, groups, see
 
 #: Sizes of one class differ by this factor at most.
 STEP = 1.5
+#: Cells of a row of the token-group matrix, and sets of one key that are looked at together.
+BITS, TILE = 1024, 4096
 
 
 class Scheme:
@@ -165,16 +168,92 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.select("a", "b").join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _tokens(texts: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, token): all tokens of the texts."""
+def _sketches(k: int):
+    """Bit rows of the sets: which of BITS cells the tokens fall into, and the parity of their number in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for r, s in shingle_sets(ids, *buffers(batch.column("text")), k):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[r])), pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], ["doc_id", "n", "token"])
-
-    return texts.mapInArrow(run, "doc_id long, n long, token long")
+            size, held, parity = [], [], []
+            for _, tokens in shingle_sets(ids, *buffers(batch.column("text")), k):
+                count = np.bincount((seeded(tokens, 19) % U64(BITS)).astype(np.int64), minlength=BITS)
+                size.append(len(tokens))
+                held.append(np.packbits(count > 0).tobytes())
+                parity.append(np.packbits((count & 1).astype(bool)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size, pa.int64()), pa.array(held, pa.binary()), pa.array(parity, pa.binary())], ["s_id", "n", "held", "parity"])
+
+    return run
+
+
+def _open_groups(num: int, den: int, whole: bool):
+    """Token-group matrices of the keys in a bucket: a row for each group, the union of its members' cells.
+
+    A set of n tokens, u of whose cells are not in a group's row, has at most n - u tokens in common with any member.
+    Groups that qualify are opened: members stay if the parities allow the difference.  With `whole` all such pairs
+    are returned, else as many as connect the groups.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, i, j, own, doc, g, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "doc", "g", "n"))
+        bits = [np.frombuffer(b"".join(table.column(c).to_pylist()), U64).reshape(len(key), -1) for c in ("held", "parity")]
+        order = np.lexsort((doc, g, own, j, i, key))
+        cuts = np.append(np.flatnonzero(first_of_runs(key[order], i[order], j[order])), len(order))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[lo:hi]
+            lead = np.flatnonzero(first_of_runs(g[at], own[at]))
+            matrix = np.bitwise_or.reduceat(bits[0][at], lead, axis=0)
+            group_of = np.repeat(np.arange(len(lead)), np.diff(lead, append=len(at)))
+            cut = np.append(lead, len(at))
+            us, vs = [], []
+            for a in range(0, len(at), 64):
+                q = at[a : a + 64]
+                missing = np.bitwise_count(bits[0][q][:, None, :] & ~matrix[None]).sum(axis=2, dtype=np.int64)
+                opens = (n[q][:, None] - missing) * den >= n[q][:, None] * num
+                opens &= g[at[lead]][None, :] < g[q][:, None]
+                if i[at[0]] != j[at[0]]:  # a pair of tiles: only what meets across
+                    opens &= own[at[lead]][None, :] != own[q][:, None]
+                r, c = np.nonzero(opens)
+                size = cut[c + 1] - cut[c]
+                r = np.repeat(r, size)
+                m = np.repeat(cut[c], size) + np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size)
+                u, v = q[r], at[m]
+                both = n[u] + n[v]
+                fits = np.minimum(n[u], n[v]) * den >= num * np.maximum(n[u], n[v])
+                u, v, both, r, m = u[fits], v[fits], both[fits], r[fits], m[fits]
+                close = np.bitwise_count(bits[1][u] ^ bits[1][v]).sum(axis=1, dtype=np.int64) <= both * (den - num) // (den + num)
+                us.append(a + r[close])
+                vs.append(m[close])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            if not whole and len(u):
+                keep = _spanning(group_of[u], group_of[v], len(lead))
+                u, v = u[keep], v[keep]
+            found.append((doc[at[u]], doc[at[v]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 2
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _spanning(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Indices of links that make a spanning forest."""
+    root, keep = list(range(nodes)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep.append(k)
+    return np.array(keep, np.int64)
 
 
 def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,27 +275,22 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     links = staged(verified(pairs, texts, k, num, den).unionByName(copies), "jaccard-links")
     groups_ = staged(connected(links), "jaccard-groups")
 
-    # Matrix: only keys whose sets are in different groups, and not what was compared with a group of one already.
-    placed = shared.select("key", "doc").join(groups_, shared["doc"] == groups_["id"], "left").select("key", "doc", F.coalesce("component", "doc").alias("g"))
-    split = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
-    mixed = staged(placed.join(split, "key"), "jaccard-mixed")
-    met = pairs.join(groups_, pairs["b"] == groups_["id"], "left_anti").select(F.col("a").alias("q"), F.col("b").alias("g"))
-    others = mixed.select("key", F.col("g").alias("og")).distinct()
-    queries = mixed.join(others, "key").filter("og < g").select(F.col("doc").alias("q"), F.col("og").alias("g")).distinct()
-    queries = staged(queries.join(met, ["q", "g"], "left_anti"), "jaccard-queries")
+    # Matrix: only keys whose sets are in different groups.  The first time a key gives a forest over its groups, which
+    # unites nearly all that belongs together; the second time every pair that passes is verified.
+    sketches = staged(texts.dropDuplicates(["doc_id"]).mapInArrow(_sketches(k), "s_id long, n long, held binary, parity binary"), "jaccard-sketches")
     final = groups_
-    if not queries.isEmpty():
-        members = mixed.select("doc", "g").distinct().join(queries.select("g").distinct(), "g", "left_semi")
-        asked_of = members.select(F.col("doc").alias("doc_id")).union(queries.select("q")).distinct()
-        tokens = staged(_tokens(texts.dropDuplicates(["doc_id"]).join(asked_of, "doc_id", "left_semi"), k), "jaccard-tokens")
-        matrix = members.join(tokens, members["doc"] == tokens["doc_id"]).select("g", "token").distinct()
-        asked = queries.join(tokens, queries["q"] == tokens["doc_id"]).select("q", "g", "n", "token")
-        bound = asked.join(matrix, ["g", "token"]).groupBy("q", "g").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("overlap"))
-        qualified = bound.filter(F.col("overlap") * den >= F.col("n") * num).select("q", "g")
-        mine, theirs = mixed.select("key", F.col("doc").alias("a"), F.col("g").alias("ga")), mixed.select("key", F.col("doc").alias("b"), F.col("g").alias("gb"))
-        routed = mine.join(qualified.withColumnsRenamed({"q": "a", "g": "gb"}), "a").filter("ga > gb")
-        opened = routed.join(theirs, ["key", "gb"]).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        final = connected(staged(links.unionByName(verified(opened, texts, k, num, den)), "jaccard-all"))
+    for whole in (False, True):
+        placed = shared.select("key", "doc").join(final, shared["doc"] == final["id"], "left").select("key", "doc", F.coalesce("component", "doc").alias("g"))
+        split = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
+        mixed = staged(placed.join(split, "key"), "jaccard-mixed")
+        tiles = mixed.groupBy("key").count().filter(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("long").alias("tiles"))
+        rows = mixed.join(staged(tiles, "jaccard-tiles"), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("g"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        rows = rows.select("key", "doc", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        rows = rows.join(sketches, rows["doc"] == sketches["s_id"]).withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n)))
+        opened = rows.groupBy("bucket").applyInArrow(_open_groups(num, den, whole), "a long, b long").distinct()
+        links = staged(links.unionByName(verified(opened.join(pairs, ["a", "b"], "left_anti"), texts, k, num, den)), "jaccard-links")
+        final = staged(connected(links), "jaccard-groups")
     return meta.join(final, meta["doc_id"] == final["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
