@@ -119,6 +119,7 @@ def _candidates(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = []
+        near_: list[list[np.ndarray]] = []
         for b in table_rows(table, PASSED):
             doc, line = unpack(b)
             out.append([np.full(len(doc), PASSED, np.int32), doc, line, doc, line])
@@ -144,17 +145,26 @@ def _candidates(num: int, den: int):
                 i = np.repeat(np.arange(a, b), c)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
                 both = n[i] + n[j]
-                near = np.bitwise_count(bits[i] ^ bits[j]) <= both * (den - num) // (den + num)
-                i, j, both = i[near], j[near], both[near]
+                apart = np.bitwise_count(bits[i] ^ bits[j])
+                near = apart <= both * (den - num) // (den + num)
+                i, j, both, apart = i[near], j[near], both[near], apart[near]
                 most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
                 fits = most * (num + den) >= num * both
-                i, j = i[fits], j[fits]
+                i, j, apart = i[fits], j[fits], apart[fits]
                 swap = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
                 first, later = np.where(swap, j, i), np.where(swap, i, j)
-                out.append([np.full(len(i), ENTRY, np.int32), doc[later], line[later], doc[first], line[first]])
+                near_.append([doc[later], line[later], doc[first], line[first], apart.astype(np.int64)])
                 a = b
+        rest: list[bytes | None] = [None] * sum(len(c[0]) for c in out)
+        if near_:
+            d, k, fd, fk, apart = (np.concatenate(c) for c in zip(*near_, strict=True))
+            order = np.lexsort((fk, fd, apart, k, d))
+            d, k, fd, fk = d[order], k[order], fd[order], fk[order]
+            lead = np.flatnonzero(first_of_runs(d, k))
+            out.append([np.full(len(lead), ENTRY, np.int32), d[lead], k[lead], fd[lead], fk[lead]])
+            rest += [pack(fd[x + 1 : y], fk[x + 1 : y]) if y > x + 1 else None for x, y in zip(lead.tolist(), np.append(lead[1:], len(d))[: len(lead)].tolist(), strict=True)]
         cols = [np.concatenate(c).astype(np.int32 if k == 0 else np.int64) for k, c in enumerate(zip(*out, strict=True))] if out else [np.zeros(0, np.int32 if k == 0 else np.int64) for k in range(5)]
-        return pa.table(dict(zip(("kind", "doc", "line", "before_doc", "before_line"), cols, strict=True)))
+        return pa.table(dict(zip(("kind", "doc", "line", "before_doc", "before_line"), cols, strict=True)) | {"rest": pa.array(rest, pa.binary())})
 
     return run
 
@@ -183,10 +193,29 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     base = keyed(docs, id_col, text_col)
     n = bucket_count(base, 4 << 20)
     freq = docs.sparkSession.sparkContext.broadcast(frequencies(base))
-    found = scatter(base, _announce(freq, num, den, n), n).groupBy("bucket").applyInArrow(_candidates(num, den), "kind int, doc long, line long, before_doc long, before_line long")
+    found = scatter(base, _announce(freq, num, den, n), n).groupBy("bucket").applyInArrow(_candidates(num, den), "kind int, doc long, line long, before_doc long, before_line long, rest binary")
     found = staged(found, "line-pairs")
     settled = found.filter(F.col("kind") == PASSED).select("doc", "line")
-    pairs = staged(found.filter(F.col("kind") == ENTRY).drop("kind").distinct(), "line-candidates")
+    entries = found.filter(F.col("kind") == ENTRY)
+    # first each line against the nearest of each of its groups; only lines that this leaves open against all others
+    first = staged(_similar(entries.select("doc", "line", "before_doc", "before_line").distinct(), base, num, den).distinct(), "lines-first")
+    left = staged(entries.filter("rest is not null").join(first, ["doc", "line"], "left_anti").select("doc", "line", "rest"), "lines-open")
+    out = settled.union(first)
+    if not left.isEmpty():
+        out = out.union(_similar(left.mapInArrow(_others, "doc long, line long, before_doc long, before_line long").distinct(), base, num, den))
+    return out.distinct()
+
+
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, line, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "line", "rest")), strict=True):
+            before, number = unpack(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(before), doc)), pa.array(np.full(len(before), line)), pa.array(before), pa.array(number)], ["doc", "line", "before_doc", "before_line"])
+
+
+def _similar(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc, line) of the pairs whose lines' word sets are similar."""
+    pairs = staged(pairs, "line-candidates")
     wanted = pairs.select("doc", "line").union(pairs.select("before_doc", "before_line")).distinct()
     # A table of DOC_BITS bits turns most documents without candidates away before they are shuffled.
     cell = F.pmod(F.col("doc"), F.lit(DOC_BITS))
@@ -207,7 +236,7 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     x = tokens.select(F.col("d").alias("doc"), F.col("l").alias("line"), F.col("tokens").alias("x"))
     y = tokens.select(F.col("d").alias("before_doc"), F.col("l").alias("before_line"), F.col("tokens").alias("y"))
     similar = pairs.join(x, ["doc", "line"]).join(y, ["before_doc", "before_line"]).select("doc", "line", "x", "y").mapInArrow(verify, "doc long, line long")
-    return settled.union(similar).distinct()
+    return similar
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str | None = None, **kw) -> DataFrame:
