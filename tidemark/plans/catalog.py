@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import graph, joins, lineage, metrics, models, series
+from tidemark.operators import graph, joins, lineage, metrics, models, series, statistics
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +138,31 @@ def seasonal_forecast(t):
     return d.select("date", *[F.round(c, 4).alias(c) for c in ("trend", "weekly", "yearly", "forecast")])
 
 
+@query(f"""with {DAILY}, d as (select *, avg_value - avg(avg_value) over () as v from s), p as (select v, lag(v, 1) over w as v1, lag(v, 2) over w as v2, lag(v, 3) over w as v3 from d window w as (order by date)),
+ a as (select sum(v * v1) / sum(v * v) as a1, sum(v * v2) / sum(v * v) as a2, sum(v * v3) / sum(v * v) as a3 from p)
+select 1 as lag, round(a1, 6) as acf from a union all select 2, round(a2, 6) from a union all select 3, round(a3, 6) from a""")
+def daily_autocorrelation(t):
+    a = statistics.autocorrelation(series.daily(t("orders"), F.to_date("o_orderdate"), "o_totalprice"), "date", "avg_value", 3)
+    return a.select("lag", F.round("acf", 6).alias("acf"))
+
+
+@query(f"""with {DAILY}, p as (select lag(avg_value) over (order by date) as x, avg_value - lag(avg_value) over (order by date) as y from s),
+ a as (select count(*) as n, covar_pop(x, y) as xy, var_pop(x) as xx, var_pop(y) as yy from p where x is not null)
+select n, round(xy / xx, 6) as slope, round(xy / xx / sqrt((yy - xy / xx * xy) / ((n - 2) * xx)), 4) as statistic from a""")
+def daily_unit_root(t):
+    u = statistics.unit_root(series.daily(t("orders"), F.to_date("o_orderdate"), "o_totalprice"), "date", "avg_value")
+    return u.select("n", F.round("slope", 6).alias("slope"), F.round("statistic", 4).alias("statistic"))
+
+
+AUDITED = ("l_quantity", "l_discount", "l_tax")
+
+
+@query(" union all ".join(f"select '{c}' as feature, count({c}) as n, count(*) - count({c}) as n_null, round(avg({c}), 6) as mean, round(stddev({c}), 6) as sd, cast(min({c}) as double) as low, cast(max({c}) as double) as high, round(corr({c}, l_extendedprice), 6) as corr from lineitem" for c in AUDITED))
+def feature_audit(t):
+    a = statistics.feature_audit(t("lineitem"), AUDITED, "l_extendedprice")
+    return a.select("feature", "n", "n_null", *[F.round(c, 6).alias(c) for c in ("mean", "sd")], "low", "high", F.round("corr", 6).alias("corr"))
+
+
 @query("""select distinct cast(o_orderdate as date) as date, cast((month(o_orderdate) = 5 and dayofweek(o_orderdate) = 1 and day(o_orderdate) >= 25)
  or (month(o_orderdate), day(o_orderdate)) in ((1, 1), (7, 4), (11, 11), (12, 25))
  or (month(o_orderdate), dayofweek(o_orderdate), (day(o_orderdate) - 1) // 7 + 1) in ((1, 1, 3), (2, 1, 3), (9, 1, 1), (10, 1, 2), (11, 4, 4)) as int) as is_holiday from orders""")
