@@ -3,8 +3,8 @@
 The tokens of a line are its distinct lower-cased words, ordered by rarity; rarity is counted over all lines into a table
 of fixed size (words that share a cell share a count, which changes the order but not its being one).  Two lines whose
 sets are similar share a token among their first few, so lines meet in the tokens of that prefix; pairs must pass the
-length filter, the positional filter and a bound on the symmetric difference from 64 parity bits, and those left are
-verified by their Jaccard similarity.  A line is removed if it is similar to one before it, at a smaller (doc_id, line),
+length filter, the positional filter and a bound on the symmetric difference from parity bits (64, or 256 where both lines
+are long), and those left are verified by their Jaccard similarity.  A line is removed if it is similar to one before it, at a smaller (doc_id, line),
 whether that one is itself removed or not.
 
 Equal lines are settled first: of equal sets in a batch only the first travels, and in a token's group again.
@@ -24,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bucket_count, first_of_runs, keyed, pack, pack_rows, scatter, staged, table_rows, unpack, unpack_rows
+from tidemark.llm.pieces import ragged
 from tidemark.llm.textcore import SPACED_LOWER, U64, Words, buffers, groups, seeded
 
 CELLS = 1 << 18
 PASSED, ENTRY = -1, 0
 #: Pairs looked at in one pass.
 PAIRS = 1 << 21
-#: Bits of the table of documents with candidates.
-DOC_BITS = 1 << 22
+#: Lines of more tokens than this have 256 parity bits, in four words whose sum without carry is the 64 bits of the others.
+WIDE = 32
+#: Bits of the table of lines with candidates (a fixed size; once it is full all lines travel to verification).
+LINE_BITS = 1 << 24
 
 
 def line_words(raw: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -87,15 +90,17 @@ def _announce(freq, num: int, den: int, n_buckets: int):
                 continue
             value = seeded(token, 31)
             print_ = seeded(np.add.reduceat(value, cut[some]), 32) ^ np.bitwise_xor.reduceat(seeded(token, 33), cut[some])
-            bits = np.bitwise_xor.reduceat(U64(1) << (value >> U64(58)), cut[some])
+            bit, word = U64(1) << (value >> U64(58)), value >> U64(56) & U64(3)
+            bits = np.bitwise_xor.reduceat(bit, cut[some])
             n = size[some]
+            wide = [np.where(n > WIDE, np.bitwise_xor.reduceat(np.where(word == k, bit, U64(0)), cut[some]), U64(0)) for k in (1, 2, 3)]
             prefix = n - -(-n * num // den) + 1
             pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             at = np.repeat(cut[some], prefix) + pos
-            parts.append([ids[lo:hi][row[some]], number[some], print_, bits, n, prefix, token[at]])
+            parts.append([ids[lo:hi][row[some]], number[some], print_, bits, *wide, n, prefix, token[at]])
         if not parts:
             return
-        doc, number, print_, bits, n, prefix, token = (np.concatenate(c) for c in zip(*parts, strict=True))
+        doc, number, print_, bits, *wide, n, prefix, token = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((number, doc, print_))
         lead = order[first_of_runs(print_[order])]
         late = np.setdiff1d(order, lead)
@@ -109,31 +114,33 @@ def _announce(freq, num: int, den: int, n_buckets: int):
         who = np.repeat(lead, size)
         t = seeded(token[np.repeat(first[lead], size) + pos], 34)
         bucket = t % U64(n_buckets)
-        yield from ((b, ENTRY, p) for b, p in pack_rows(bucket, n_buckets, doc[who], (t >> U64(32)).astype(np.uint32), print_[who], bits[who], number[who], n[who], pos))
+        yield from ((b, ENTRY, p) for b, p in pack_rows(bucket, n_buckets, doc[who], (t >> U64(32)).astype(np.uint32), print_[who], bits[who], *(x[who] for x in wide), number[who], n[who], pos))
 
     return emit
 
 
 def _candidates(num: int, den: int):
-    """From a bucket of prefix tokens: (kind, doc, line, before_doc, before_line), settled removals and pairs to verify."""
+    """From a bucket of prefix tokens: (kind, doc, line, before_doc, before_line, apart, rest), settled removals and pairs to verify."""
 
     def run(table: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = []
         near_: list[list[np.ndarray]] = []
         for b in table_rows(table, PASSED):
             doc, line = unpack(b)
-            out.append([np.full(len(doc), PASSED, np.int32), doc, line, doc, line])
+            out.append([np.full(len(doc), PASSED, np.int32), doc, line, doc, line, np.zeros(len(doc), np.int64)])
         rows = table_rows(table, ENTRY)
         if rows:
-            doc, token, print_, bits, line, n, pos = unpack_rows(rows)
+            doc, token, print_, bits, w1, w2, w3, line, n, pos = unpack_rows(rows)
             line, n, pos = line.astype(np.int64), n.astype(np.int64), pos.astype(np.int64)
             order = np.lexsort((line, doc, print_, n, token))
-            doc, token, print_, bits, line, n, pos = (x[order] for x in (doc, token, print_, bits, line, n, pos))
+            doc, token, print_, line, n, pos = (x[order] for x in (doc, token, print_, line, n, pos))
             new = first_of_runs(token, n, print_)
             again = np.flatnonzero(~new & (pos == 0))  # an equal line came before; told once, by its rarest token
             lead = np.flatnonzero(new)
-            out.append([np.full(len(again), PASSED, np.int32), doc[again], line[again], doc[again], line[again]])
-            doc, token, bits, line, n, pos = (x[lead] for x in (doc, token, bits, line, n, pos))
+            out.append([np.full(len(again), PASSED, np.int32), doc[again], line[again], doc[again], line[again], np.zeros(len(again), np.int64)])
+            doc, token, line, n, pos = (x[lead] for x in (doc, token, line, n, pos))
+            bits, w1, w2, w3 = (x[order[lead]] for x in (bits, w1, w2, w3))
+            words = (w1, w2, w3, bits ^ w1 ^ w2 ^ w3)
             # partners follow in the order (token, size): sizes up to n * den / num
             last = np.searchsorted(token.astype(np.float64) * (1 << 21) + np.minimum(n, (1 << 21) - 1), token.astype(np.float64) * (1 << 21) + np.minimum(n * den // num, (1 << 21) - 1), "right")
             count = np.maximum(last - np.arange(len(n)) - 1, 0)
@@ -148,44 +155,62 @@ def _candidates(num: int, den: int):
                 apart = np.bitwise_count(bits[i] ^ bits[j])
                 near = apart <= both * (den - num) // (den + num)
                 i, j, both, apart = i[near], j[near], both[near], apart[near]
+                far = (n[i] > WIDE) & (n[j] > WIDE)
+                x, y = i[far], j[far]
+                apart = apart.astype(np.int64)
+                apart[far] = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
+                near = apart <= both * (den - num) // (den + num)
+                i, j, both, apart = i[near], j[near], both[near], apart[near]
                 most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
                 fits = most * (num + den) >= num * both
                 i, j, apart = i[fits], j[fits], apart[fits]
                 swap = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
                 first, later = np.where(swap, j, i), np.where(swap, i, j)
-                near_.append([doc[later], line[later], doc[first], line[first], apart.astype(np.int64)])
+                near_.append([doc[later], line[later], doc[first], line[first], apart])
                 a = b
         rest: list[bytes | None] = [None] * sum(len(c[0]) for c in out)
         if near_:
             d, k, fd, fk, apart = (np.concatenate(c) for c in zip(*near_, strict=True))
             order = np.lexsort((fk, fd, apart, k, d))
-            d, k, fd, fk = d[order], k[order], fd[order], fk[order]
+            d, k, fd, fk, apart = (c[order] for c in (d, k, fd, fk, apart))
             lead = np.flatnonzero(first_of_runs(d, k))
-            out.append([np.full(len(lead), ENTRY, np.int32), d[lead], k[lead], fd[lead], fk[lead]])
+            out.append([np.full(len(lead), ENTRY, np.int32), d[lead], k[lead], fd[lead], fk[lead], apart[lead]])
             rest += [pack(fd[x + 1 : y], fk[x + 1 : y]) if y > x + 1 else None for x, y in zip(lead.tolist(), np.append(lead[1:], len(d))[: len(lead)].tolist(), strict=True)]
-        cols = [np.concatenate(c).astype(np.int32 if k == 0 else np.int64) for k, c in enumerate(zip(*out, strict=True))] if out else [np.zeros(0, np.int32 if k == 0 else np.int64) for k in range(5)]
-        return pa.table(dict(zip(("kind", "doc", "line", "before_doc", "before_line"), cols, strict=True)) | {"rest": pa.array(rest, pa.binary())})
+        cols = [np.concatenate(c).astype(np.int32 if k == 0 else np.int64) for k, c in enumerate(zip(*out, strict=True))] if out else [np.zeros(0, np.int32 if k == 0 else np.int64) for k in range(6)]
+        return pa.table(dict(zip(("kind", "doc", "line", "before_doc", "before_line", "apart"), cols, strict=True)) | {"rest": pa.array(rest, pa.binary())})
 
     return run
 
 
-def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The token sets of the wanted lines."""
-    for batch in batches:
-        ids, lines = batch.column("doc_id").to_numpy(), batch.column("lines").to_pylist()
-        raw, off = buffers(batch.column("text"))
-        docs, numbers, tokens = [], [], []
-        for lo, hi in groups(off):
-            w, row, number = line_words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            at = np.searchsorted(row, np.arange(hi - lo + 1))
-            for r in range(lo, hi):
-                for k in lines[r]:
-                    i = at[r - lo] + k
-                    if i < at[r - lo + 1]:
-                        docs.append(ids[r])
-                        numbers.append(k)
-                        tokens.append(np.unique(w.hash[w.first[i] : w.first[i + 1]]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(tokens, pa.binary())], ["d", "l", "tokens"])
+def _cell(doc, line):
+    """The bit of a line in the table of wanted lines; the same on columns and on arrays of integers, and without overflow."""
+    return ((doc % LINE_BITS + LINE_BITS) * 40503 + (line % LINE_BITS) * 64007) % LINE_BITS
+
+
+def _pick_lines(mask):
+    """The token sets of the lines whose bit is set: all wanted ones, and some others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = mask.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            raw, off = buffers(batch.column("text"))
+            for lo, hi in groups(off):
+                w, row, number = line_words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                doc, words = ids[lo:hi][row], np.diff(w.first)
+                at = np.flatnonzero(bits[_cell(doc, number)] & (words > 0))
+                if not len(at):
+                    continue
+                line, token = np.repeat(np.arange(len(at)), words[at]), w.hash[ragged(at, w.first)]
+                order = np.lexsort((token, line))
+                token, line = token[order], line[order]
+                once = first_of_runs(line, token)
+                token, line = token[once], line[once]
+                cut = np.searchsorted(line, np.arange(len(at) + 1)).astype(np.int32) * 8
+                sets = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(token))])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(number[at]), sets], ["d", "l", "tokens"])
+
+    return run
 
 
 def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,36 +218,43 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     base = keyed(docs, id_col, text_col)
     n = bucket_count(base, 4 << 20)
     freq = docs.sparkSession.sparkContext.broadcast(frequencies(base))
-    found = scatter(base, _announce(freq, num, den, n), n).groupBy("bucket").applyInArrow(_candidates(num, den), "kind int, doc long, line long, before_doc long, before_line long, rest binary")
+    found = scatter(base, _announce(freq, num, den, n), n).groupBy("bucket").applyInArrow(_candidates(num, den), "kind int, doc long, line long, before_doc long, before_line long, apart long, rest binary")
     found = staged(found, "line-pairs")
     settled = found.filter(F.col("kind") == PASSED).select("doc", "line")
     entries = found.filter(F.col("kind") == ENTRY)
-    # first each line against the nearest of each of its groups; only lines that this leaves open against all others
-    first = staged(_similar(entries.select("doc", "line", "before_doc", "before_line").distinct(), base, num, den).distinct(), "lines-first")
-    left = staged(entries.filter("rest is not null").join(first, ["doc", "line"], "left_anti").select("doc", "line", "rest"), "lines-open")
+    # first each line against its nearest candidate; only lines that this leaves open against all others
+    nearest = staged(entries.groupBy("doc", "line").agg(F.min(F.struct("apart", "before_doc", "before_line")).alias("b")).select("doc", "line", "b.before_doc", "b.before_line"), "lines-nearest")
+    first = staged(_similar(nearest, base, num, den).distinct(), "lines-first")
+    still = nearest.join(first, ["doc", "line"], "left_anti").select("doc", "line", F.col("before_doc").alias("near_doc"), F.col("before_line").alias("near_line"))
+    others = staged(entries.join(still, ["doc", "line"]).select("doc", "line", "before_doc", "before_line", "rest", "near_doc", "near_line").mapInArrow(_others, "doc long, line long, before_doc long, before_line long").distinct(), "lines-open")
     out = settled.union(first)
-    if not left.isEmpty():
-        out = out.union(_similar(left.mapInArrow(_others, "doc long, line long, before_doc long, before_line long").distinct(), base, num, den))
+    if not others.isEmpty():
+        out = out.union(_similar(others, base, num, den))
     return out.distinct()
 
 
 def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of open lines but for the one that was verified."""
+    names = ("doc", "line", "before_doc", "before_line", "rest", "near_doc", "near_line")
     for batch in batches:
-        for doc, line, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "line", "rest")), strict=True):
-            before, number = unpack(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(before), doc)), pa.array(np.full(len(before), line)), pa.array(before), pa.array(number)], ["doc", "line", "before_doc", "before_line"])
+        for doc, line, before, number, b, near, near_line in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            more = unpack(b) if b else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            before, number = np.append(more[0], before).astype(np.int64), np.append(more[1], number).astype(np.int64)
+            new = (before != near) | (number != near_line)
+            if new.any():
+                k = int(new.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, doc)), pa.array(np.full(k, line)), pa.array(before[new]), pa.array(number[new])], ["doc", "line", "before_doc", "before_line"])
 
 
 def _similar(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, line) of the pairs whose lines' word sets are similar."""
-    pairs = staged(pairs, "line-candidates")
-    wanted = pairs.select("doc", "line").union(pairs.select("before_doc", "before_line")).distinct()
-    # A table of DOC_BITS bits turns most documents without candidates away before they are shuffled.
-    cell = F.pmod(F.col("doc"), F.lit(DOC_BITS))
-    mask = wanted.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(doc, {DOC_BITS}) & 63 as int)))").alias("bits"))
-    some = base.withColumn("cell", F.pmod(F.col("doc_id"), F.lit(DOC_BITS))).join(F.broadcast(mask), F.shiftright("cell", 6) == F.col("word")).filter("(shiftright(bits, cast(cell & 63 as int)) & 1) = 1").select("doc_id", "text")
-    lines = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("line").alias("lines"))
-    tokens = staged(some.join(lines, "doc_id").select("doc_id", "text", "lines").mapInArrow(_pick_lines, "d long, l long, tokens binary"), "line-tokens")
+    # A table of LINE_BITS bits leaves most lines without candidates where they are.
+    wanted = pairs.select("doc", "line").union(pairs.select("before_doc", "before_line")).select(_cell(F.col("doc"), F.col("line")).alias("cell"))
+    words = wanted.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits")).toArrow()  # at most LINE_BITS / 64 rows
+    table = np.zeros(LINE_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    mask = pairs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").view(bool))
+    tokens = staged(base.mapInArrow(_pick_lines(mask), "d long, l long, tokens binary"), "line-tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
