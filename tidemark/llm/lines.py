@@ -3,8 +3,8 @@
 The tokens of a line are its distinct lower-cased words, ordered by rarity; rarity is counted over all lines into a table
 of fixed size (words that share a cell share a count, which changes the order but not its being one).  Two lines whose
 sets are similar share a token among their first few, so lines meet in the tokens of that prefix; pairs must pass the
-length filter, the positional filter and a bound on the symmetric difference from parity bits (64, or 256 where both lines
-are long), and those left are verified by their Jaccard similarity.  A line is removed if it is similar to one before it, at a smaller (doc_id, line),
+length filter, the positional filter and a bound on the symmetric difference from parity bits (64; 128 or 256 where both
+lines are long), and those left are verified by their Jaccard similarity.  A line is removed if it is similar to one before it, at a smaller (doc_id, line),
 whether that one is itself removed or not.
 
 Equal lines are settled first: of equal sets in a batch only the first travels, and in a token's group again.
@@ -31,8 +31,8 @@ CELLS = 1 << 18
 PASSED, ENTRY = -1, 0
 #: Pairs looked at in one pass.
 PAIRS = 1 << 21
-#: Lines of more tokens than this have 256 parity bits, in four words whose sum without carry is the 64 bits of the others.
-WIDE = 32
+#: Lines of more tokens than these have 128 and 256 parity bits: two and four words, which add up without carry to the fewer words.
+WIDE, WIDER = 32, 128
 #: Bits of the table of lines with candidates (a fixed size; once it is full all lines travel to verification).
 LINE_BITS = 1 << 24
 
@@ -93,7 +93,7 @@ def _announce(freq, num: int, den: int, n_buckets: int):
             bit, word = U64(1) << (value >> U64(58)), value >> U64(56) & U64(3)
             bits = np.bitwise_xor.reduceat(bit, cut[some])
             n = size[some]
-            wide = [np.where(n > WIDE, np.bitwise_xor.reduceat(np.where(word == k, bit, U64(0)), cut[some]), U64(0)) for k in (1, 2, 3)]
+            wide = [np.where(n > least, np.bitwise_xor.reduceat(np.where(ok, bit, U64(0)), cut[some]), U64(0)) for least, ok in ((WIDE, word & U64(1) > 0), (WIDER, word == 2), (WIDER, word == 3))]
             prefix = n - -(-n * num // den) + 1
             pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             at = np.repeat(cut[some], prefix) + pos
@@ -114,7 +114,7 @@ def _announce(freq, num: int, den: int, n_buckets: int):
         who = np.repeat(lead, size)
         t = seeded(token[np.repeat(first[lead], size) + pos], 34)
         bucket = t % U64(n_buckets)
-        yield from ((b, ENTRY, p) for b, p in pack_rows(bucket, n_buckets, doc[who], (t >> U64(32)).astype(np.uint32), print_[who], bits[who], *(x[who] for x in wide), number[who], n[who], pos))
+        yield from ((b, ENTRY, p) for b, p in pack_rows(bucket, n_buckets, doc[who], (t >> U64(32)).astype(np.uint32), print_[who].astype(np.uint32), np.where(n[who] > WIDE, 0, print_[who] >> U64(32)).astype(np.uint32), bits[who], *(x[who] for x in wide), number[who], n[who], pos))
 
     return emit
 
@@ -130,7 +130,8 @@ def _candidates(num: int, den: int):
             out.append([np.full(len(doc), PASSED, np.int32), doc, line, doc, line, np.zeros(len(doc), np.int64)])
         rows = table_rows(table, ENTRY)
         if rows:
-            doc, token, print_, bits, w1, w2, w3, line, n, pos = unpack_rows(rows)
+            doc, token, low, high, bits, w1, w2, w3, line, n, pos = unpack_rows(rows)
+            print_ = np.where(n > WIDE, bits ^ seeded(low.astype(U64), 35) ^ seeded(w1, 36), low.astype(U64) | high.astype(U64) << U64(32))
             line, n, pos = line.astype(np.int64), n.astype(np.int64), pos.astype(np.int64)
             order = np.lexsort((line, doc, print_, n, token))
             doc, token, print_, line, n, pos = (x[order] for x in (doc, token, print_, line, n, pos))
@@ -140,10 +141,12 @@ def _candidates(num: int, den: int):
             out.append([np.full(len(again), PASSED, np.int32), doc[again], line[again], doc[again], line[again], np.zeros(len(again), np.int64)])
             doc, token, line, n, pos = (x[lead] for x in (doc, token, line, n, pos))
             bits, w1, w2, w3 = (x[order[lead]] for x in (bits, w1, w2, w3))
-            words = (w1, w2, w3, bits ^ w1 ^ w2 ^ w3)
+            two, four = (w1, bits ^ w1), (w1 ^ w3, w2, w3, bits ^ w1 ^ w2)
             # partners follow in the order (token, size): sizes up to n * den / num
             last = np.searchsorted(token.astype(np.float64) * (1 << 21) + np.minimum(n, (1 << 21) - 1), token.astype(np.float64) * (1 << 21) + np.minimum(n * den // num, (1 << 21) - 1), "right")
-            count = np.maximum(last - np.arange(len(n)) - 1, 0)
+            # the shorter of two similar lines has a common token in a prefix shorter still
+            short = n - -(-n * 2 * num // (num + den)) + 1
+            count = np.where(pos < short, np.maximum(last - np.arange(len(n)) - 1, 0), 0)
             total = np.cumsum(count)
             a = 0
             while a < len(n):
@@ -155,12 +158,13 @@ def _candidates(num: int, den: int):
                 apart = np.bitwise_count(bits[i] ^ bits[j])
                 near = apart <= both * (den - num) // (den + num)
                 i, j, both, apart = i[near], j[near], both[near], apart[near]
-                far = (n[i] > WIDE) & (n[j] > WIDE)
-                x, y = i[far], j[far]
                 apart = apart.astype(np.int64)
-                apart[far] = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
-                near = apart <= both * (den - num) // (den + num)
-                i, j, both, apart = i[near], j[near], both[near], apart[near]
+                for least, words in ((WIDE, two), (WIDER, four)):
+                    far = (n[i] > least) & (n[j] > least)
+                    x, y = i[far], j[far]
+                    apart[far] = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
+                    near = apart <= both * (den - num) // (den + num)
+                    i, j, both, apart = i[near], j[near], both[near], apart[near]
                 most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
                 fits = most * (num + den) >= num * both
                 i, j, apart = i[fits], j[fits], apart[fits]
@@ -187,18 +191,31 @@ def _cell(doc, line):
     return ((doc % LINE_BITS + LINE_BITS) * 40503 + (line % LINE_BITS) * 64007) % LINE_BITS
 
 
+def _marked(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return table[cell >> 6] >> (cell & 63) & 1 > 0
+
+
+def _mask(df: DataFrame, cell) -> np.ndarray:
+    """The table of LINE_BITS bits in which the cells of df's rows are set."""
+    at = df.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits")).toArrow()  # at most LINE_BITS / 64 rows
+    table = np.zeros(LINE_BITS // 64, np.int64)
+    table[at.column("word").to_numpy()] = at.column("bits").to_numpy()
+    return table
+
+
 def _pick_lines(mask):
-    """The token sets of the lines whose bit is set: all wanted ones, and some others."""
+    """The token sets of the lines whose bit is set: all wanted ones, and some others.  Documents without any are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = mask.value
+        of_docs, of_lines = mask.value
         for batch in batches:
+            batch = batch.filter(pa.array(_marked(of_docs, _cell(batch.column("doc_id").to_numpy(zero_copy_only=False), 0)), pa.bool_()))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             raw, off = buffers(batch.column("text"))
             for lo, hi in groups(off):
                 w, row, number = line_words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 doc, words = ids[lo:hi][row], np.diff(w.first)
-                at = np.flatnonzero(bits[_cell(doc, number)] & (words > 0))
+                at = np.flatnonzero(_marked(of_lines, _cell(doc, number)) & (words > 0))
                 if not len(at):
                     continue
                 line, token = np.repeat(np.arange(len(at)), words[at]), w.hash[ragged(at, w.first)]
@@ -248,12 +265,9 @@ def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, line) of the pairs whose lines' word sets are similar."""
-    # A table of LINE_BITS bits leaves most lines without candidates where they are.
-    wanted = pairs.select("doc", "line").union(pairs.select("before_doc", "before_line")).select(_cell(F.col("doc"), F.col("line")).alias("cell"))
-    words = wanted.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits")).toArrow()  # at most LINE_BITS / 64 rows
-    table = np.zeros(LINE_BITS // 64, np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    mask = pairs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").view(bool))
+    # Tables of LINE_BITS bits leave most lines without candidates where they are.
+    wanted = pairs.select("doc", "line").union(pairs.select("before_doc", "before_line"))
+    mask = pairs.sparkSession.sparkContext.broadcast((_mask(wanted, _cell(F.col("doc"), F.lit(0).cast("long"))), _mask(wanted, _cell(F.col("doc"), F.col("line")))))
     tokens = staged(base.mapInArrow(_pick_lines(mask), "d long, l long, tokens binary"), "line-tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +281,7 @@ def _similar(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame
 
     x = tokens.select(F.col("d").alias("doc"), F.col("l").alias("line"), F.col("tokens").alias("x"))
     y = tokens.select(F.col("d").alias("before_doc"), F.col("l").alias("before_line"), F.col("tokens").alias("y"))
-    similar = pairs.join(x, ["doc", "line"]).join(y, ["before_doc", "before_line"]).select("doc", "line", "x", "y").mapInArrow(verify, "doc long, line long")
+    similar = pairs.join(x.hint("merge"), ["doc", "line"]).join(y.hint("merge"), ["before_doc", "before_line"]).select("doc", "line", "x", "y").mapInArrow(verify, "doc long, line long")
     return similar
 
 
@@ -275,7 +289,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with the repeated lines taken out of their texts; lines_col, if named, holds the removed line numbers."""
     gone = staged(removed_lines(docs, id_col=id_col, text_col=text_col, **kw).groupBy(F.col("doc").alias("__gone_id")).agg(F.sort_array(F.collect_list("line")).alias("__gone")), "lines-removed")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    out = docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone_id"), "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     if lines_col:
         out = out.withColumn(lines_col, F.coalesce("__gone", F.expr("cast(array() as array<bigint>)")))
     return out.drop("__gone_id", "__gone")
