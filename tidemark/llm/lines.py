@@ -3,8 +3,8 @@
 The tokens of a line are its distinct lower-cased words, ordered by rarity; rarity is counted over all lines into a table
 of fixed size (words that share a cell share a count, which changes the order but not its being one).  Two lines whose
 sets are similar share a token among their first few, so lines meet in the tokens of that prefix; pairs must pass the
-length filter, the positional filter and a bound on the symmetric difference from parity bits (64; 128 or 256 where both
-lines are long), and those left are verified by their Jaccard similarity.  A line is removed if it is similar to one before it, at a smaller (doc_id, line),
+length filter, the positional filter and a bound on the symmetric difference from parity bits (twice 64, or 256
+where both lines are long), and those left are verified by their Jaccard similarity.  A line is removed if it is similar to one before it, at a smaller (doc_id, line),
 whether that one is itself removed or not.
 
 Equal lines are settled first: of equal sets in a batch only the first travels, and in a token's group again.
@@ -31,8 +31,8 @@ CELLS = 1 << 18
 PASSED, ENTRY = -1, 0
 #: Pairs looked at in one pass.
 PAIRS = 1 << 21
-#: Lines of more tokens than these have 128 and 256 parity bits: two and four words, which add up without carry to the fewer words.
-WIDE, WIDER = 32, 128
+#: Lines of more tokens than this have 256 parity bits, in four words that add up without carry to the 64 bits of all lines; the others have 64 bits of another hash.
+WIDE = 32
 #: Bits of the table of lines with candidates (a fixed size; once it is full all lines travel to verification).
 LINE_BITS = 1 << 24
 
@@ -93,7 +93,8 @@ def _announce(freq, num: int, den: int, n_buckets: int):
             bit, word = U64(1) << (value >> U64(58)), value >> U64(56) & U64(3)
             bits = np.bitwise_xor.reduceat(bit, cut[some])
             n = size[some]
-            wide = [np.where(n > least, np.bitwise_xor.reduceat(np.where(ok, bit, U64(0)), cut[some]), U64(0)) for least, ok in ((WIDE, word & U64(1) > 0), (WIDER, word == 2), (WIDER, word == 3))]
+            again = np.bitwise_xor.reduceat(U64(1) << (seeded(token, 37) >> U64(58)), cut[some])
+            wide = [np.where(n > WIDE, np.bitwise_xor.reduceat(np.where(word == k, bit, U64(0)), cut[some]), again if k == 1 else U64(0)) for k in (1, 2, 3)]
             prefix = n - -(-n * num // den) + 1
             pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             at = np.repeat(cut[some], prefix) + pos
@@ -141,7 +142,7 @@ def _candidates(num: int, den: int):
             out.append([np.full(len(again), PASSED, np.int32), doc[again], line[again], doc[again], line[again], np.zeros(len(again), np.int64)])
             doc, token, line, n, pos = (x[lead] for x in (doc, token, line, n, pos))
             bits, w1, w2, w3 = (x[order[lead]] for x in (bits, w1, w2, w3))
-            two, four = (w1, bits ^ w1), (w1 ^ w3, w2, w3, bits ^ w1 ^ w2)
+            four, second = (w1, w2, w3, bits ^ w1 ^ w2 ^ w3), (w1,)
             # partners follow in the order (token, size): sizes up to n * den / num
             last = np.searchsorted(token.astype(np.float64) * (1 << 21) + np.minimum(n, (1 << 21) - 1), token.astype(np.float64) * (1 << 21) + np.minimum(n * den // num, (1 << 21) - 1), "right")
             # the shorter of two similar lines has a common token in a prefix shorter still
@@ -159,12 +160,12 @@ def _candidates(num: int, den: int):
                 near = apart <= both * (den - num) // (den + num)
                 i, j, both, apart = i[near], j[near], both[near], apart[near]
                 apart = apart.astype(np.int64)
-                for least, words in ((WIDE, two), (WIDER, four)):
-                    far = (n[i] > least) & (n[j] > least)
-                    x, y = i[far], j[far]
-                    apart[far] = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
-                    near = apart <= both * (den - num) // (den + num)
-                    i, j, both, apart = i[near], j[near], both[near], apart[near]
+                long = (n[i] > WIDE, n[j] > WIDE)
+                for both_of, words in ((long[0] & long[1], four), (~long[0] & ~long[1], second)):
+                    x, y = i[both_of], j[both_of]
+                    apart[both_of] = np.maximum(apart[both_of], sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words))
+                near = apart <= both * (den - num) // (den + num)
+                i, j, both, apart = i[near], j[near], both[near], apart[near]
                 most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
                 fits = most * (num + den) >= num * both
                 i, j, apart = i[fits], j[fits], apart[fits]
