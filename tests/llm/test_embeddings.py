@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from brute import components
 
-from tidemark.llm.embeddings import near_links
+from tidemark.llm.embeddings import ProductCode, filters_each, near_links, recall
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -54,3 +54,12 @@ def test_odd_rows(spark):
     assert out[2][1:] == (1, False) and out[1][1:] == (1, True)
     assert all(out[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11))
     assert near_links(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("vectors", [20_000, 200_000, 1_100_000, 30_000_000])
+def test_recall_holds_as_the_table_grows(vectors):
+    code = ProductCode(64, vectors, filters_each(64, vectors, 0.98))
+    assert recall(code, 64, 0.98, pairs=2000, seed=5) >= 0.99
+    x = np.random.default_rng(6).standard_normal((500, 64))
+    row, _ = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert (np.bincount(row, minlength=500) > 0).all()
