@@ -160,6 +160,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
+def determined(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """The rows of docs, as they are, whose prediction isn't `und`: each is judged by its own text, whatever its id."""
+    names, table = model
+    held = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
+    width = len(docs.columns)
+    rows = docs.select("*", F.lower(F.col(text_col).cast("string")).alias("__lower"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("__letters"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column(width + 1).to_numpy(zero_copy_only=False).astype(bool)
+            raw, off = buffers(batch.column(width))
+            for lo, hi in groups(off):
+                w, code, first = trigrams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                ll = np.add.reduceat(held.value[code], first[:-1], axis=0) if len(w) else np.zeros((0, len(names)), np.float32)
+                keep[lo:hi] &= mixture(ll, w.first, penalty).any(axis=1)
+            yield batch.select(list(range(width))).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4) -> DataFrame:
     """Learn from the rows of docs that aren't held out and predict all of them."""
     return predict(docs, learn(docs, id_col, text_col, lang_col, parts), id_col, text_col, parts)
