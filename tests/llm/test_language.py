@@ -37,3 +37,15 @@ def test_mixture_is_the_penalised_maximum():
     assert mixture(ll, np.array([0, 40]), 1e9).max() == 1  # no penalty is worth a second language
     pi = mixture(ll, np.array([0, 0, 40]), 0.0)
     assert pi[0].sum() == 0 and abs(pi[1].sum() - 1) < 1e-9
+
+
+def test_a_text_does_not_depend_on_its_neighbours():
+    # three languages pay here, the two with the largest shares alone don't
+    ll = np.full((80, 4), -12.0)
+    ll[:, 2] = -3
+    ll[:30, 0], ll[30:60, 1], ll[60:, 2] = 0, 0, 0
+    pair = np.full((60, 4), -12.0)
+    pair[:30, 0], pair[30:, 1] = 0, 0
+    alone = mixture(ll, np.array([0, 80]))[0]
+    assert np.allclose(alone, mixture(np.concatenate([ll, pair]), np.array([0, 80, 140]))[0])
+    assert (alone > 0).sum() == 3

@@ -123,8 +123,6 @@ def mixture(ll: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.n
         pi_k, fit = em((rank < count).astype(float))
         better = fit - (count - 1) * fine[np.searchsorted(some, open_)] > value
         chosen[better], value[better] = pi_k[better], (fit - (count - 1) * fine[np.searchsorted(some, open_)])[better]
-        if not better.any():
-            break
     out[open_] = chosen
     return out
 
