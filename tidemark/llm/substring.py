@@ -4,12 +4,12 @@ Every word has a 64-bit name.  Three rounds rename the sequence of each document
 says whether a symbol is a left or a right one, and each left symbol followed by a right symbol becomes one symbol whose
 name is a hash of both.  Whether two neighbours merge depends on these two alone, so equal word sequences are parsed
 alike but for at most 1 + 2 + 4 words at either end; names are hashes of content, so all tasks give the same names
-without talking to one another.  Runs of one symbol never merge among themselves; they are named once with their
-length when symbols are announced.
+without talking to one another.  Runs of one symbol never merge among themselves and are not compressed.
 
 A window of 20 words that occurs twice has the same symbols over its words 7 to 12 in both places.  So only windows
 all of whose middle symbols occur elsewhere need looking at: tasks announce their symbols by name, repeated names come
-back to the documents, and only the windows that pass are compared, by their whole word sequence.
+back to the documents, and only the windows that pass are compared, by a 64-bit hash of their word sequence: equality is
+by this hash, the words themselves are not compared.
 
 Rules for odd input: null texts have no words; rows without an id are left out; a window is a repeat if an equal one has
 a smaller (doc_id, start), so rows that share an id are judged as one document that is written twice, and each gives a
