@@ -1,5 +1,9 @@
 """SentencePiece encoding and decoding by unigram Viterbi over a double-array trie of pieces with log scores.
 
+No unigram model is installed: the model file is a BPE one, whose scores are negative merge ranks, not log
+probabilities.  They serve as scores here, so ids and counts differ from those the library gives for this file by merges;
+they are the same only after the model type in the file is set to unigram.
+
 Texts are normalised as the model does without rules of its own: a space is put before a text that is not empty, and
 spaces are written as the whitespace marker.  Inside, a space byte stands for the marker, so a marker that a text holds
 itself is read as a space, as the model does.  Characters without a piece fall back to the pieces of their bytes.
