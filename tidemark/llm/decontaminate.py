@@ -5,9 +5,12 @@ executors as a Spark broadcast.  The broadcast is proven small: the benchmark's
 exceeds `max_bytes` the items are dealt into blocks below that bound and each block scans the texts by itself, so a
 large benchmark costs passes, never memory.  A window whose key is found is verified word by word with the second hash.
 
+Rows are looked at where they lie: nothing is shuffled where one block is enough, and with several the blocks' hits are
+put together by id and content, so each row gives a row of its own however many share an id.
+
 Rules for odd input: null texts and texts without words have no windows and are clean; items without words match
-nothing; an item of fewer words than n is one window; rows without an id are left out; equal rows give equal results
-(one row for each where one block is enough, one for all of them where several are needed).
+nothing; an item of fewer words than n is one window; rows without an id are scanned like others; equal rows give equal
+results; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import first_of_runs, keyed
+from tidemark.llm.common import first_of_runs
 from tidemark.llm.textcore import ALNUM_LOWER, M2, U64, Words, buffers, groups, inside, mix, seeded, windows
 
 #: Bytes of benchmark text in one broadcast.
@@ -28,8 +31,8 @@ MAX_BYTES = 32 << 20
 #: Bits of the table that turns most windows away before the binary search.
 FILTER_BITS = 20
 
-SPAN = "array<struct<start:long,end:long>>"
-RESULT = f"doc_id long, n_words long, spans {SPAN}, items array<long>"
+SPAN = "array<struct<start:bigint,end:bigint>>"
+FOUND = f"__words bigint, __spans {SPAN}, __items array<bigint>"
 
 
 def second(w: Words, at: np.ndarray) -> np.ndarray:
@@ -95,13 +98,13 @@ class Index:
             yield k, i[right], own[entry[right]]
 
 
-def _scan(index):
+def _scan(index, at: int):
+    """Adds FOUND to the rows of each batch; the text is column number `at`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            ids = batch.column("doc_id")
-            raw, off = buffers(batch.column("text"))
-            n_words, ranges, items = [], [], []
+            raw, off = buffers(batch.column(at))
+            n_words, starts, stops, spans, items, per_row = [], [], [], [], [], []
             for lo, hi in groups(off):
                 w = Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], ALNUM_LOWER)
                 n_words.append(np.diff(w.first))
@@ -115,53 +118,72 @@ def _scan(index):
                 hit = cover[:-1].cumsum() > 0
                 start = hit.copy()
                 start[1:] &= ~hit[:-1]
-                start[w.first[:-1][w.first[:-1] < len(w)]] |= hit[w.first[:-1][w.first[:-1] < len(w)]]
+                lead = w.first[:-1][w.first[:-1] < len(w)]
+                start[lead] |= hit[lead]
                 stop = hit.copy()
                 stop[:-1] &= ~hit[1:] | start[1:]
                 start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
-                first = np.searchsorted(start, w.first)
+                of = np.searchsorted(w.first, start, "right") - 1
+                starts.append(start - w.first[of])
+                stops.append(stop - w.first[of])
+                spans.append(np.bincount(of, minlength=hi - lo))
                 row, item = np.concatenate(rows), np.concatenate(found)
                 order = np.lexsort((item, row))
                 row, item = row[order], item[order]
                 once = first_of_runs(row, item)
-                row, item = row[once], item[once]
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                for r in range(hi - lo):
-                    a, b = first[r], first[r + 1]
-                    ranges.append([{"start": int(x), "end": int(y)} for x, y in zip(start[a:b] - w.first[r], stop[a:b] - w.first[r], strict=True)])
-                    items.append(item[cut[r] : cut[r + 1]])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(ranges, spans), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+                items.append(item[once])
+                per_row.append(np.bincount(row[once], minlength=hi - lo))
+            flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
+            cut = lambda x: pa.array(np.concatenate([[0], np.cumsum(flat(x))]).astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(flat(starts)), pa.array(flat(stops))], ["start", "end"])
+            found = [pa.array(flat(n_words)), pa.ListArray.from_arrays(cut(spans), pairs), pa.ListArray.from_arrays(cut(per_row), pa.array(flat(items)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "__words", "__spans", "__items"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Per document: n_words, the hit word ranges `spans` (merged, in order) and the `items` that have a window there."""
+#: Spans of several blocks: sorted, and those that touch put together.
+MERGED = f"""aggregate(array_sort(s), cast(array() as {SPAN}), (acc, x) ->
+    if(size(acc) > 0 and element_at(acc, -1).end >= x.start,
+       concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))),
+       concat(acc, array(x))))"""
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows with columns __0, __1, ... for those of docs by position, and __words, __spans and __items."""
     spark = docs.sparkSession
-    base = keyed(docs, id_col, text_col)
+    text, key = f"__{docs.columns.index(text_col)}", f"__{docs.columns.index(id_col)}"
+    at = docs.columns.index(text_col)
+    base = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))]).withColumn(text, F.col(text).cast("string"))
     tests = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null")
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, math.ceil(total / max_bytes))
-    found = []
+    told = lambda rows: spark.sparkContext.broadcast(Index([tuple(r) for r in rows.collect()], n))
+    if blocks == 1:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+        return base.mapInArrow(_scan(told(tests), at), f"{schema}, {FOUND}")
+    hash_ = F.xxhash64(text).alias("__h")
+    small = base.select(F.col(key).alias("__id"), text, hash_)
+    schema = f"__id {small.schema['__id'].dataType.simpleString()}, `{text}` string, __h bigint, {FOUND}"
+    hits = None
     for block in range(blocks):
         # an item larger than the bound would still be one item: its text is what the caller chose as a test case
-        rows = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else tests
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in rows.collect()], n))
-        found.append(base.mapInArrow(_scan(index), RESULT))
-    if blocks == 1:
-        return found[0]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    merged = """aggregate(array_sort(s), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
-        if(size(acc) > 0 and element_at(acc, -1).end >= x.start,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))),
-           concat(acc, array(x))))"""
-    return (
-        out.groupBy("doc_id", "n_words")
-        .agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select("doc_id", "n_words", F.expr(merged).alias("spans"), "items")
-    )
+        index = told(tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block))
+        one = small.mapInArrow(_scan(index, 1), schema).select("__id", "__h", "__words", "__spans", "__items").filter(F.size("__spans") > 0)
+        hits = one if hits is None else hits.unionByName(one)
+    hits = hits.groupBy("__id", "__h").agg(F.flatten(F.collect_set("__spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__items"))
+    hits = hits.select("__id", F.col("__h").alias("__hh"), F.expr(MERGED).alias("__spans"), "__items")
+    words = F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    out = base.withColumns({"__h": F.xxhash64(text), "__words": F.coalesce(words, F.lit(0)).cast("long")})
+    out = out.join(hits, out[key].eqNullSafe(hits["__id"]) & (out["__h"] == hits["__hh"]), "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as {kind})")).alias(c)
+    return out.select(*base.columns, "__words", none("__spans", SPAN), none("__items", "array<bigint>"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Per document: n_words, the hit word ranges `spans` (merged, in order) and the `items` that have a window there."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return marked(base, benchmark, n, **kw).select(F.col("__0").alias("doc_id"), F.col("__words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -173,32 +195,30 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns; rows without an id stay."""
-    bad = contamination(docs, benchmark, id_col=id_col, **kw).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad_id"), "left_anti")
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents with the hit words, and what stands between them, cut out of their texts; the rest is unchanged."""
-    spans = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **kw).filter(F.size("spans") > 0)
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), "n_words").agg(F.first("spans").alias("spans")).groupBy("__id").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(F.col("n_words"), s["start"].alias("start"), s["end"].alias("end"))))).alias("__spans"))
-
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        raw, off = buffers(text)
-        out = []
-        for r, found in enumerate(spans.to_pylist()):
-            if text[r].as_py() is None or not found:
-                out.append(text[r].as_py())
-                continue
-            t = raw[off[r] : off[r + 1]]
-            w = Words(t, np.array([0, len(t)]), ALNUM_LOWER, hashed=False)
-            at, kept = 0, []
-            for s in sorted((x["start"], x["end"]) for x in found if x["n_words"] == len(w)):
-                kept.append(t[at : w.start[s[0]]].tobytes())
-                at = int(w.end[s[1] - 1])
-            out.append((b"".join(kept) + t[at:].tobytes()).decode())
-        return pa.array(out, pa.string())
-
-    return docs.join(spans, F.col(id_col) == F.col("__id"), "left").withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).drop("__id", "__spans")
+def drop_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The rows that hold no window of the benchmark, with all their columns; each is judged by its own text."""
+    clean = marked(docs, benchmark, **kw).filter(F.size("__spans") == 0)
+    return clean.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    raw, off = buffers(text)
+    out = text.to_pylist()
+    for r, found in enumerate(spans.to_pylist()):
+        if out[r] is None or not found:
+            continue
+        t = raw[off[r] : off[r + 1]]
+        w = Words(t, np.array([0, len(t)]), ALNUM_LOWER, hashed=False)
+        at, kept = 0, []
+        for s in found:
+            kept.append(t[at : w.start[s["start"]]].tobytes())
+            at = int(w.end[s["end"] - 1])
+        out[r] = (b"".join(kept) + t[at:].tobytes()).decode()
+    return pa.array(out, pa.string())
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """The rows with the hit words, and what stands between them, cut out of their texts; the rest is unchanged."""
+    rows = marked(docs, benchmark, text_col=text_col, **kw)
+    text = docs.columns.index(text_col)
+    return rows.select(*[(F.arrow_udf(_cut, "string")(F.col(f"__{i}"), F.col("__spans")) if i == text else F.col(f"__{i}")).alias(c) for i, c in enumerate(docs.columns)])
