@@ -96,3 +96,20 @@ def test_dataframes(spark):
     assert {r["text"] for r in decoded(encoded(df)).collect()} == {"hello é 𝄞", None, ""}
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts(df).collect()) == sorted((k or 0, r["n_pieces"]) for k, r in list(out.items()) + [(1, out[1])])
     assert encoded(df.limit(0)).collect() == [] and token_counts(df.limit(0)).collect() == []
+
+
+def test_long_segments_equal_the_library_and_take_linear_time(spark, pieces):
+    sp = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(open(MODEL, "rb").read()))
+    rnd = random.Random(7)
+    t = ["".join(rnd.choice("abcdeftheingioné日") for _ in range(n)) for n in (250, 255, 256, 257, 300, 900)] + ["a" * 700, "日" * 400, "x " * 300]
+    ids, cut = encode(pieces, *buffers(pa.array(t, pa.string())))
+    got = [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    assert [sum(pieces.piece_at[i + 1] - pieces.piece_at[i] for i in x) for x in got] == [len(x.encode()) + 1 for x in t]
+    score = {int(i): s for i, s in zip(pieces.ids, pieces.score, strict=True)}
+    for a, b in zip(got, map(sp.encode, t), strict=True):  # the library rounds its sums to single precision: compare costs
+        assert sum(score.get(i, -1e9) for i in a) >= sum(score.get(i, -1e9) for i in b) - 1e-6
+    seg = Segments(*buffers(pa.array(t, pa.string())), pieces.alone)
+    assert [terminal_counts(pieces, seg)[seg.of][x:y].sum() for x, y in zip(seg.first[:-1], seg.first[1:], strict=True)] == [len(x) for x in got]
+    big = spark.createDataFrame([(1, "".join(rnd.choices("abcdefth", k=1_000_000)))], "doc_id long, text string")
+    row = encoded(big).first()
+    assert row["round_trip"] and token_counts(big).first()["n_tokens"] == row["n_pieces"]

@@ -10,7 +10,9 @@ itself is read as a space, as the model does.  Characters without a piece fall b
 
 No piece holds a marker after another character (checked when a model is loaded), so the best segmentation never crosses
 the start of a run of spaces; nor does it cross bytes that only occur in pieces by themselves, such as line feeds.  A
-batch is cut there into segments; each distinct one is segmented once, all at the same time, position by position.
+batch is cut there into segments; each distinct one is segmented once, all at the same time, position by position.  Long
+segments, which few would share positions with, are walked one by one in plain Python, in time that grows with their
+length alone.
 
 Rules for odd input: null texts have null pieces and count 0; the empty text has none; of equal scores the one whose
 last piece is longest is taken; rows, ids and their repeats pass through as they are.
@@ -18,6 +20,7 @@ last piece is longest is taken; rows, ids and their repeats pass through as they
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁".encode()
 #: What an unknown character costs beyond the worst piece (fixed value of the unigram model).
 UNKNOWN_PENALTY = 10.0
+#: Segments of more bytes are walked by themselves.
+LONG = 256
 
 
 class DoubleArray:
@@ -113,6 +118,7 @@ class Pieces:
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.trie = DoubleArray(strings)
         self.reverse = DoubleArray([s[::-1] for s in strings])
+        self._plain = None
         shared = {b for s in strings if len(s) > 1 for b in s}
         #: bytes below 128 that no longer piece holds: segments end before and after them
         self.alone = np.array([b < 128 and b != 32 and b not in shared for b in range(256)])
@@ -121,6 +127,55 @@ class Pieces:
         self.piece_bytes = np.frombuffer(b"".join(self.text), np.uint8)
 
 
+    def walk(self, text: bytes) -> tuple[array, array]:
+        """For each end position of one segment: bytes of the best last piece, and its index (-1: an unknown character)."""
+        if self._plain is None:
+            self._plain = (*(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score)),)
+        base, check, value, score = self._plain
+        n = len(text)
+        best, back, what = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for pos in range(n):
+            have = best[pos]
+            if have == -np.inf:
+                continue
+            lead = text[pos]
+            size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            known, state, at = False, 0, pos
+            while at < n:
+                to = base[state] + text[at] + 1
+                if check[to] != state:
+                    break
+                state = to
+                at += 1
+                v = value[state]
+                if v >= 0:
+                    known = known or at - pos == size
+                    cand = have + score[v]
+                    if cand > best[at]:
+                        best[at], back[at], what[at] = cand, at - pos, v
+            if not known and pos + size <= n and have + self.unknown > best[pos + size]:
+                best[pos + size], back[pos + size], what[pos + size] = have + self.unknown, size, -1
+        return back, what
+
+    def walked(self, text: bytes) -> np.ndarray:
+        """Ids of one segment's pieces."""
+        back, what = self.walk(text)
+        out, at = [], len(text)
+        while at > 0:
+            out += [int(self.ids[what[at]])] if what[at] >= 0 else [int(self.byte_ids[text[at - 1 - j]]) for j in range(back[at])]
+            at -= back[at]
+        return np.array(out[::-1], np.int32)
+
+    def walked_count(self, text: bytes) -> int:
+        back, what = self.walk(text)
+        n, at = 0, len(text)
+        while at > 0:
+            n += 1 if what[at] >= 0 else back[at]
+            at -= back[at]
+        return n
+
+
 def char_lengths(lead: np.ndarray) -> np.ndarray:
     """Bytes of the characters that start with these bytes."""
     return 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
@@ -155,12 +210,18 @@ class Segments:
         _, at, self.of = np.unique(h, return_index=True, return_inverse=True)
         self.start, self.length = start[at], (end - start)[at]
 
+    def bytes_of(self, i: int) -> bytes:
+        return self.buf[self.start[i] : self.start[i] + self.length[i]].tobytes()
+
 
 def viterbi(p: Pieces, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all distinct segments' pieces in order, offsets by segment)."""
     n = len(seg.start)
-    order = np.argsort(-seg.length, kind="stable")  # longest first: those that reach a position are a prefix
-    start, length = seg.start[order], seg.length[order]
+    far = np.flatnonzero(seg.length > LONG).tolist()
+    alone = {i: p.walked(seg.bytes_of(i)) for i in far}
+    reach = np.where(seg.length > LONG, 0, seg.length)
+    order = np.argsort(-reach, kind="stable")  # longest first: those that reach a position are a prefix
+    start, length = seg.start[order], reach[order]
     at = np.concatenate([[0], np.cumsum(length + 1)])
     best = np.full(at[-1], -np.inf)
     back = np.zeros(at[-1], np.int32)  # bytes of the last piece
@@ -209,6 +270,10 @@ def viterbi(p: Pieces, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
             ends.append(cur[row[x]] - j)
             ids.append(p.byte_ids[seg.buf[start[row[x]] + cur[row[x]] - 1 - j]])
         cur[row] -= b
+    for i, found in alone.items():
+        rows.append(np.full(len(found), np.flatnonzero(order == i)[0]))
+        ends.append(np.arange(len(found)))
+        ids.append(found)
     if not rows:
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
     row, end, piece = order[np.concatenate(rows)], np.concatenate(ends), np.concatenate(ids)
@@ -289,11 +354,15 @@ def terminal_counts(p: Pieces, seg: Segments) -> np.ndarray:
     """
     n = len(seg.start)
     counts = np.zeros(n, np.int64)
+    for i in np.flatnonzero(seg.length > LONG).tolist():  # no trie: nothing to share along so long a segment
+        counts[i] = p.walked_count(seg.bytes_of(i))
     order = np.argsort(-seg.length, kind="stable")
+    order = order[seg.length[order] <= LONG]
+    n = len(order)
     start, length = seg.start[order], seg.length[order]
-    parent, byte, left, chars = [np.zeros(1, np.int64)], [np.zeros(1, np.uint8)], np.zeros(1, np.int64), np.zeros(1, np.int64)
+    left, chars = np.zeros(1, np.int64), np.zeros(1, np.int64)
     best, count = np.zeros(1), np.zeros(1, np.int64)
-    up, label = parent[0], byte[0]
+    up, label = np.zeros(1, np.int64), np.zeros(1, np.uint8)
     node = np.zeros(n, np.int64)
     for depth in range(1, int(length[0]) + 1 if n else 0):
         live = int(np.searchsorted(-length, -depth, "right"))
