@@ -43,3 +43,27 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
     plan = digest(scan(df))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_worst_cases_of_a_megabyte_take_linear_time(spark):
+    n = 1_000_000
+    rows = [
+        (1, "x://y " + "z" * n), (2, "eyJ" * (n // 3)), (3, "eyJ" * (n // 3) + "." + "eyJ" * 9 + ".x"), (4, "password" + " " * n), (5, "AKIA" * (n // 4)), (6, "deadbee " * (n // 8)),
+        (7, "-----BEGIN " + "A " * (n // 2)), (8, "ghp_" * (n // 4)), (9, "a://" * (n // 4)), (10, "token=abcdefgh " * 60_000),
+    ]
+    out = {r["doc_id"]: r for r in digest(scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))).collect()}
+    assert out[3]["spans"] == f"jwt:0:{n // 3 * 3 + 30}"
+    assert out[5]["n_access"] == 1 and out[10]["n_assign"] == 60_000
+    assert out[10]["spans"].endswith(f",assign:{59_999 * 15}:{59_999 * 15 + 14}")
+    assert all(out[i]["spans"] == "" for i in (1, 2, 4, 6, 7, 8, 9))
+
+
+def test_patterns_that_try_a_run_once_match_the_same(spark):
+    rnd = random.Random(5)
+    bits = ["eyJ", "abcdefghij", ".", "x", "-", " ", "://", ":", "@", "user", "é", "A", "/"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40)))) for i in range(3000)] + [(9000, "zeyJabcdefgh.eyJabcdefgh.q.eyJabcdefgh.eyJ12345678.w http://u:p@h a1://u:p@x://u:q@")]
+    want = {}
+    for i, t in rows:
+        want[i] = sorted((m.start(), f"{r.kind}:{m.start()}:{m.end()}") for r in RULES if r.once for m in re.finditer(r.pattern, t))
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.split(":")[0] in ("jwt", "url_password")] for r in digest(scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {i: [x for _, x in w] for i, w in want.items()} and sum(map(len, want.values())) > 20

@@ -29,13 +29,23 @@ def either_case(*words: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of `pattern` whose `group` has `least` characters or more are secrets of this kind."""
+    """Matches of `pattern` whose `group` has `least` characters or more are secrets of this kind.
+
+    Where a backtracking engine would try a long run of characters from each of its places, `once` is a pattern with the
+    same matches that tries it once; what its group `lead` holds comes before the match.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     base: bool = False
+    once: str = ""
+    lead: int = 0
+
+    @property
+    def scanned(self) -> str:
+        return self.once or self.pattern
 
 
 #: The base rules, in the order in which ties are listed.
@@ -50,9 +60,10 @@ MORE = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+"),
+    # if the first eyJ of a run has no match, no later one has: what follows the run is the same
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+", once="(?<![A-Za-z0-9_-])((?:(?!eyJ)[A-Za-z0-9_-])*+)eyJ[A-Za-z0-9_-]{8,}+[.]eyJ[A-Za-z0-9_-]{8,}+[.][A-Za-z0-9_-]++", lead=1),
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", "[a-z]+://[A-Za-z0-9._-]+:[^\\x20\\x09-\\x0D/@:]+@"),
+    Rule("url_password", "[a-z]+://[A-Za-z0-9._-]+:[^\\x20\\x09-\\x0D/@:]+@", once="(?<![a-z])[a-z]++://[A-Za-z0-9._-]++:[^\\x20\\x09-\\x0D/@:]++@"),
 )
 RULES = BASE + MORE
 
@@ -154,9 +165,9 @@ def _holds(query: object, have: Column) -> Column:
 
 def postings(docs: DataFrame, vocabulary: set[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index: (trigram, doc_id) for each document whose lower-cased text holds the trigram."""
-    low = F.lower(F.col(text_col))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(vocabulary)]))
-    return docs.select(F.explode(held).alias("trigram"), F.col(id_col).alias("doc_id")).filter("doc_id is not null")
+    low = docs.select(F.lower(F.col(text_col)).alias("low"), F.col(id_col).alias("doc_id")).filter("doc_id is not null")  # lower-cased once, below the generator
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(vocabulary)]))
+    return low.select(F.explode(held).alias("trigram"), "doc_id")
 
 
 def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
@@ -166,21 +177,37 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     return have.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+KIND = "array<struct<start:int,at:int,end:int,kind:string>>"
+#: Matches whose offsets are added up together: appending copies an array, so it is done in blocks.
+BLOCK = 256
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, at, end, kind>> of the rule's secrets in the text."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
-    steps = F.zip_with(gaps, F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("m"), (F.length(p) >= rule.least).alias("ok"))), lambda g, x: F.struct(F.length(g).alias("g"), x["m"].alias("m"), x["ok"].alias("ok")))
-    kind = "array<struct<start:int,at:int,end:int,kind:string>>"
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {kind})").alias("out"))
+    """array<struct<start, at, end, kind>> of the rule's secrets in the text, which has a match."""
+    found = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(group)), F.length)
+    whole = found(0)
+    gaps = F.transform(F.slice(F.split(text, rule.scanned, -1), F.lit(1), F.size(whole)), F.length)
+    part = F.arrays_zip(gaps.alias("g"), whole.alias("m"), *([found(rule.group).alias("p")] if rule.group else []), *([found(rule.lead).alias("l")] if rule.lead else []))
+    none = F.expr(f"cast(array() as {KIND})")
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["pos"] + x["g"]
-        one = F.struct(a.alias("start"), F.lit(order).alias("at"), (a + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((a + x["m"]).alias("pos"), F.when(x["ok"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        lead = x["l"] if rule.lead else F.lit(0)
+        a, b = acc["pos"] + x["g"], acc["pos"] + x["g"] + x["m"]
+        one = F.struct((a + lead).alias("start"), F.lit(order).alias("at"), b.alias("end"), F.lit(rule.kind).alias("kind"))
+        out = F.concat(acc["out"], F.array(one))
+        return F.struct(b.alias("pos"), (F.when(x["p"] >= rule.least, out).otherwise(acc["out"]) if rule.group else F.when(x["m"] >= rule.least, out).otherwise(acc["out"])).alias("out"))
+
+    def block(acc: Column, steps: Column) -> Column:
+        inner = F.aggregate(steps, F.struct(acc["pos"].alias("pos"), none.alias("out")), step)
+        # one evaluation of the inner sum: it travels as an element of an array
+        return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["pos"].alias("pos"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), 1)
+
+    # the zipped arrays are bound once, by a transform over an array of one
+    def blocks(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    chunks = F.element_at(F.transform(F.array(part), blocks), 1)
+    return F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as array<{KIND}>)").alias("out")), block, lambda acc: acc["out"]))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,11 +219,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     if indexed:
         index = staged(postings(base, set().union(*map(trigrams, indexed.values()))), "postings")
         found = base.join(candidates(index, indexed), "doc_id", "left")
-    none = F.expr("cast(array() as array<struct<start:int,at:int,end:int,kind:string>>)")
+    none = F.expr(f"cast(array() as {KIND})")
     each = []
     for k, r in enumerate(rules):
         open_ = (F.array_contains("kinds", r.kind) | F.col("doc_id").isNull()) if r.kind in indexed else F.lit(True)
-        each.append(F.when(open_ & F.col("text").rlike(r.pattern), _spans(F.col("text"), r, k)).otherwise(none))
+        each.append(F.when(open_ & F.col("text").rlike(r.scanned), _spans(F.col("text"), r, k)).otherwise(none))
     return found.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
 
