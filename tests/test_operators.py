@@ -79,3 +79,50 @@ def test_metrics_of_empty_classes_are_zero(spark):
 def test_adjacency_lines(spark, tmp_path):
     (tmp_path / "g.txt").write_text("2\t{'3': 1}\n3\t{'2': 2, '4': 1}\n")
     assert sorted(map(tuple, tables.read_adjacency(spark, str(tmp_path)).collect())) == [("2", "3", 1), ("3", "2", 2), ("3", "4", 1)]
+
+
+def test_strong_components_and_sizes(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1)], "src int, dst int")
+    got = {r["id"]: r["component"] for r in graph.strongly_connected(e).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 5, 5: 5, 6: 6, 7: 7}
+    sizes = graph.component_sizes(graph.components(e)).collect()
+    assert [(r["component"], r["n"]) for r in sizes] == [(1, 6), (6, 1)]
+    assert [r["src"] for r in graph.self_loops(e).collect()] == [6]
+
+
+def test_power_iteration_meets_pagerank(spark):
+    import numpy as np
+
+    e = spark.createDataFrame([tuple(x) for x in ("AB", "AD", "BC", "BE", "CD", "DE", "EA", "EB", "EC")], "src string, dst string").withColumn("weight", F.lit(1))
+    nodes, m = graph.transition_matrix(e)
+    slow, fast = graph.power_iteration(m, np.full(5, 0.2), 60), graph.power_iteration(m, np.full(5, 0.2), 7, squaring=True)
+    assert nodes == list("ABCDE") and np.abs(slow - [0.10526316, 0.15789474, 0.18421053, 0.23684211, 0.31578947]).max() < 1e-6 and np.abs(slow - fast).max() < 1e-6
+    top, mean, _ = graph.degree_report(e, 2)
+    assert [(r["id"], r["out_degree"]) for r in top] == [("E", 3), ("A", 2)] and mean == 9 / 5
+
+
+def test_unknown_entities_have_no_history(spark):
+    t = datetime(2020, 1, 1)
+    df = spark.createDataFrame([(1, None, t, 5.0), (2, None, t + timedelta(hours=3), 7.0), (3, "a", t, 1.0), (4, "a", t + timedelta(hours=3), 2.0), (5, "a", t + timedelta(hours=6), None), (6, "a", None, 3.0)], "id int, e string, ts timestamp, v double")
+    got = {r["id"]: r for r in lineage.cumulative(df, "e", ("ts",), "v", skip=1).collect()}
+    assert [(got[i]["cum_sum"], got[i]["cum_count"]) for i in (1, 2, 4)] == [(None, 0), (None, 0), (1.0, 1)]
+    means = {r["id"]: r["m"] for r in lineage.rolling_mean(df, "e", "ts", F.col("ts") - F.expr("interval 2 hours"), "v", 86_400, "m").collect()}
+    assert means == {1: None, 2: None, 3: None, 4: 1.0, 5: 1.5, 6: None}
+
+
+def test_nearest_in_band_ties_and_nulls(spark):
+    left = spark.createDataFrame([(1, "k", 5.0), (2, "k", 50.0), (3, None, 5.0), (4, "k", None)], "id int, k string, v double")
+    right = spark.createDataFrame([(9, "k", 4.0), (8, "k", 6.0), (7, "k", 4.0), (6, None, 5.0)], "rid int, k string, v double").toDF("rid", "rk", "rv")
+    out = joins.nearest_in_band(left, right, "k", "rk", "v", "rv", 10.0, "id", "rid").collect()
+    assert [(r["id"], r["rid"], r["distance"]) for r in out] == [(1, 7, 1.0)]
+
+
+def test_engine_handles_empty_and_unknown_tables(spark):
+    from tidemark.operators import flights
+    from tidemark.plans.flights import flights_table
+
+    e = spark.createDataFrame([(1, datetime(2024, 1, 1, 10), 7, "x", 5.0)], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    out = flights.add_lineage_features(flights_table(lambda t: e), rolling=True)
+    row = out.first()
+    assert row["tail_num"] is None and row["lineage_rank"] == 1 and row["safe_prev_departure_delay"] == -10.0 and row["tail_mean_delay_24h"] is None
+    assert flights.add_lineage_features(flights_table(lambda t: e.limit(0))).count() == 0

@@ -90,3 +90,43 @@ def signed_exp(c: Column) -> Column:
 def natural_key(*cols: Column, hashed: bool = False) -> Column:
     key = F.concat_ws("_", *cols)
     return F.sha2(key, 256) if hashed else key
+
+
+def weather_interactions(df, month: str = "month", dow: str = "day_of_week", products: tuple[tuple[str, str], ...] = (("distance", "hourlywindspeed"), ("distance", "hourlyvisibility"), ("hourlysealevelpressure", "hourlyrelativehumidity"))):
+    """df with sines and cosines of month and weekday, and the products of column pairs that exist."""
+    made = {}
+    for c, period in ((month, 12), (dow, 7)):
+        if c in df.columns:
+            made[f"{c}_sin"], made[f"{c}_cos"] = cyclic(F.col(c), period)
+    made |= {f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in products if a in df.columns and b in df.columns}
+    return df.withColumns(made)
+
+
+def in_days(day: Column, first, last, closed: bool = False) -> Column:
+    """first <= day < last, or <= last."""
+    d = F.to_date(day)
+    return (d >= F.lit(first).cast("date")) & ((d <= F.lit(last).cast("date")) if closed else (d < F.lit(last).cast("date")))
+
+
+def equals(**values) -> Column:
+    """All columns equal their values; null equals null."""
+    out = F.lit(True)
+    for c, v in values.items():
+        out = out & F.col(c).eqNullSafe(F.lit(v))
+    return out
+
+
+def coordinates(c: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) as doubles from a text "longitude, latitude"; null where it is none."""
+    parts = F.split(c, ",")
+    number = lambda i: F.trim(F.try_element_at(parts, F.lit(i))).try_cast("double")
+    return number(2), number(1)
+
+
+def local_to_utc(at: Column, zone: Column) -> Column:
+    return F.to_utc_timestamp(at.cast("timestamp"), zone)
+
+
+def clock_text(hhmm: Column) -> Column:
+    """A clock as four digits: 930 is 0930, also where it came as 930.0."""
+    return F.lpad(hhmm.cast("double").cast("int").cast("string"), 4, "0")

@@ -10,29 +10,46 @@ CUTOFF_SECONDS = 2 * 3600
 DEFAULTS = {"prev_delay": -10.0, "avg_previous_delay": 9.37, "cumulative_delay": 0.0, "max_delay": 0.0, "rotation_minutes": 1440.0, "required_minutes": 120.0}
 
 
+def lineage_window(df: DataFrame, entity: str, *also: str):
+    """(df with a column __alone, the partition of its lineages): each row without an entity is a partition of its own, so they neither mix nor meet in one task."""
+    rows = df.withColumn("__alone", F.when(F.col(entity).isNull(), F.monotonically_increasing_id()))
+    return rows, Window.partitionBy(entity, "__alone", *also)
+
+
 def previous_event(df: DataFrame, entity: str, order: tuple[str, ...], lags: tuple[str, ...], prefix: str = "prev_") -> DataFrame:
     """lineage_rank and the previous row's columns.  Rows without an entity are no lineage: each stands alone."""
-    w = Window.partitionBy(entity).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    known = df.filter(F.col(entity).isNotNull()).withColumns({"lineage_rank": F.row_number().over(w)} | {f"{prefix}{c}": F.lag(c).over(w) for c in lags})
-    alone = df.filter(F.col(entity).isNull()).withColumns({"lineage_rank": F.lit(1)} | {f"{prefix}{c}": F.lit(None).cast(df.schema[c].dataType) for c in lags})
-    return known.unionByName(alone)
+    rows, w = lineage_window(df, entity)
+    w = w.orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return rows.withColumns({"lineage_rank": F.row_number().over(w)} | {f"{prefix}{c}": F.lag(c).over(w) for c in lags}).drop("__alone")
+
 
+def previous_numbers(df: DataFrame, entity: str, order: tuple[str, ...], columns: tuple[str, ...], prefix: str = "prev_") -> DataFrame:
+    """The previous row's columns as doubles, null where they aren't numbers; columns that don't exist are passed over."""
+    rows, w = lineage_window(df, entity)
+    w = w.orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return rows.withColumns({f"{prefix}{c}": F.lag(F.col(c).cast("string").try_cast("double")).over(w) for c in columns if c in df.columns}).drop("__alone")
 
-def jump(rank: Column, prev_place: Column, place: Column) -> Column:
-    """The entity turned up elsewhere than it was left; false for first events and unknown places."""
-    return (rank > 1) & F.coalesce(prev_place != place, F.lit(False))
 
+def jump(rank: Column, prev_place: Column, place: Column, unknown: bool = False) -> Column:
+    """The entity turned up elsewhere than it was left; false for first events; `unknown` where a place isn't known."""
+    return (rank > 1) & F.coalesce(prev_place != place, F.lit(unknown))
 
-def cumulative(df: DataFrame, entity: str, order: tuple[str, ...], value: str, skip: int = 2) -> DataFrame:
-    """Sum, count, mean and maximum of the value over all rows up to `skip` before this one."""
-    w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -skip)
-    return df.withColumns({"cum_sum": F.sum(value).over(w), "cum_count": F.count(value).over(w), "cum_avg": F.avg(value).over(w), "cum_max": F.max(value).over(w)})
+
+def cumulative(df: DataFrame, entity: str, order: tuple[str, ...], value: str, skip: int = 2, also: tuple[str, ...] = ()) -> DataFrame:
+    """Sum, count, mean and maximum of the value over all rows up to `skip` before this one, by entity and the columns `also`.
+
+    Rows without an entity have no rows before them: null, and 0 for the count.
+    """
+    rows, w = lineage_window(df, entity, *also)
+    w = w.orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -skip)
+    return rows.withColumns({"cum_sum": F.sum(value).over(w), "cum_count": F.count(value).over(w), "cum_avg": F.avg(value).over(w), "cum_max": F.max(value).over(w)}).drop("__alone")
 
 
 def next_edges(df: DataFrame, entity: tuple[str, ...], order: tuple[str, ...], node: str) -> DataFrame:
     """(src, dst) from each row's node to the next row's of the entity."""
     w = Window.partitionBy(*entity).orderBy(*order)
-    return df.select(F.col(node).alias("src"), F.lead(node).over(w).alias("dst")).filter("dst is not null")
+    known = df.filter(" and ".join(f"`{c}` is not null" for c in entity))
+    return known.select(F.col(node).alias("src"), F.lead(node).over(w).alias("dst")).filter("dst is not null")
 
 
 def leaks(cutoff: Column, times: dict[str, Column]) -> tuple[dict[str, Column], Column]:
@@ -51,17 +68,36 @@ def imputed(df: DataFrame, defaults: dict[str, float] = DEFAULTS) -> DataFrame:
     return df.fillna({c: v for c, v in defaults.items() if c in df.columns})
 
 
-def rolling_mean(df: DataFrame, entity: str, ts: str, cutoff: Column, value: str, seconds: int, row_id: str, name: str) -> DataFrame:
-    """Mean of the value over the entity's events in (cut-off - seconds .. cut-off), the row itself left out; null if none.
+def rolling_means(df: DataFrame, entity: str, ts: str, cutoff: Column, value: str, spans: dict[str, int]) -> DataFrame:
+    """For each name of `spans` the mean of the value over the entity's events in (cut-off - seconds .. cut-off), the row itself left out; null if none.
 
-    Events (at their time) and probes (at the row's cut-off) are united and read by one range frame, so cost is a
-    sort, not a self-join.
+    Each row gives an event (at its time) and a probe (at its cut-off, with all its columns); range frames over one sort
+    serve all spans, the rows are read once, and nothing is joined back.  Rows without an entity have null.
     """
-    at, cut, span = F.unix_micros(F.col(ts).cast("timestamp")), F.unix_micros(cutoff.cast("timestamp")), seconds * 1_000_000
-    events = df.select(F.col(entity).alias("__e"), at.alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(None).cast(df.schema[row_id].dataType).alias("__id"), F.lit(None).cast("double").alias("__own"))
-    own = F.when(at.between(cut - span, cut), F.col(value).cast("double"))
-    probes = df.select(F.col(entity).alias("__e"), cut.alias("__t"), F.lit(None).cast("double").alias("__v"), F.col(row_id).alias("__id"), own.alias("__own"))
-    w = Window.partitionBy("__e").orderBy("__t").rangeBetween(-span, 0)
-    n, total = F.count("__v").over(w) - F.when(F.col("__own").isNotNull(), 1).otherwise(0), F.sum("__v").over(w) - F.coalesce("__own", F.lit(0.0))
-    mean = events.unionByName(probes).withColumn("__m", F.when(n > 0, total / n)).filter("__id is not null").select("__id", F.col("__m").alias(name))
-    return df.join(mean, df[row_id] == mean["__id"], "left").drop("__id")
+    at, cut = F.unix_micros(F.col(ts).cast("timestamp")), F.unix_micros(cutoff.cast("timestamp"))
+    v = F.col(value).cast("double")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = df.select(F.col(entity).alias("__e"), F.when(F.col(entity).isNull(), F.monotonically_increasing_id()).alias("__alone"), at.alias("__at"), cut.alias("__cut"), v.alias("__v"), row.alias("__row"))
+    probe = F.struct(F.col("__cut").alias("t"), none("double").alias("v"), F.col("__at").alias("at"), F.col("__v").alias("own"), F.col("__row").alias("row"))
+    event = F.struct(F.col("__at").alias("t"), F.col("__v").alias("v"), none("bigint").alias("at"), none("double").alias("own"), none(rows.schema["__row"].dataType).alias("row"))
+    both = rows.select("__e", "__alone", F.inline(F.array(probe, event))).filter("row is not null or (v is not null and t is not null)")
+    made = {}
+    for name, seconds in spans.items():
+        span = seconds * 1_000_000
+        w = Window.partitionBy("__e", "__alone").orderBy("t").rangeBetween(-span, 0)
+        own = F.col("at").between(F.col("t") - span, F.col("t")) & F.col("own").isNotNull()
+        n = F.count("v").over(w) - F.when(own, 1).otherwise(0)
+        total = F.sum("v").over(w) - F.when(own, F.col("own")).otherwise(0.0)
+        made[f"__{name}"] = F.when(F.col("t").isNotNull() & (n > 0), total / n)
+    return both.withColumns(made).filter("row is not null").select("row.*", *[F.col(f"__{name}").alias(name) for name in spans])
+
+
+def rolling_mean(df: DataFrame, entity: str, ts: str, cutoff: Column, value: str, seconds: int, name: str) -> DataFrame:
+    return rolling_means(df, entity, ts, cutoff, value, {name: seconds})
+
+
+def twice_lagged(df: DataFrame, entity: tuple[str, ...], order: tuple[str, ...], made: Column, name: str) -> DataFrame:
+    """`name` of each row, made from its columns (previous ones included), and prev_{name}: what the row before made."""
+    w = Window.partitionBy(*entity).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn(name, made).withColumn(f"prev_{name}", F.lag(name).over(w))

@@ -35,6 +35,55 @@ def evaluate(df: DataFrame, y: str, p: str, by: tuple[str, ...] = ()) -> DataFra
     return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *regression(a, b), *classification(a, b, 15, "otpa"), *classification(a, b, 60, "sddr"))
 
 
+def mape(y: Column, p: Column, least: float | None = 1.0, of_zero: float = 999.0) -> Column:
+    """Mean absolute error in percent of |y|, or of `least` if that is more; without `least` rows where y is 0 count as of_zero."""
+    e = F.abs(p - y)
+    return F.avg(e / F.greatest(F.abs(y), F.lit(least)) * 100) if least is not None else F.avg(F.when(y == 0, F.lit(of_zero)).otherwise(e / F.abs(y) * 100))
+
+
+def duration_bucket(minutes: Column, short: float = 90, long: float = 240) -> Column:
+    return F.when(minutes < short, "short").when(minutes <= long, "medium").when(minutes > long, "long")
+
+
+def by_duration(df: DataFrame, y: str, p: str, minutes: str, long: float = 240) -> DataFrame:
+    """The metrics of short, medium and long rows, in one pass; rows without a duration are left out."""
+    return evaluate(df.withColumn("bucket", duration_bucket(F.col(minutes), long=long)).filter("bucket is not null"), y, p, ("bucket",))
+
+
+def fold_summary(results: DataFrame, by: tuple[str, ...] = ("kind",), skip: tuple[str, ...] = ("fold", "n")) -> DataFrame:
+    """(by, metric, mean, sd, folds) of each metric over the folds; sd is the sample's."""
+    names = [c for c in results.columns if c not in (*by, *skip)]
+    long = results.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in names])))
+    return long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("v").alias("folds"))
+
+
+def hash_sample(df: DataFrame, keys: tuple[str, ...], fraction: float, seed: int = 7) -> DataFrame:
+    """The rows of a share of all keys: the same keys from any table, however it is partitioned, so that samples can be joined."""
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(fraction * 1_000_000))
+
+
+def reconciled(a: DataFrame, b: DataFrame, keys: tuple[str, ...], value: str, fraction: float = 1.0) -> DataFrame:
+    """One row: rows on either side and in both, how many agree, and the least, greatest, mean and median difference of the value."""
+    side = lambda df, name: (hash_sample(df, keys, fraction) if fraction < 1 else df).select(*keys, F.col(value).cast("double").alias(name), F.lit(True).alias(f"in_{name}"))
+    both = side(a, "a").join(side(b, "b"), list(keys), "outer").withColumn("d", F.col("a") - F.col("b"))
+    return both.agg(
+        F.count_if(F.col("in_b").isNull()).alias("only_left"), F.count_if(F.col("in_a").isNull()).alias("only_right"), F.count_if(F.col("in_a") & F.col("in_b")).alias("both"),
+        F.count_if(F.col("d") == 0).alias("equal"), F.min("d").alias("least"), F.max("d").alias("greatest"), F.avg("d").alias("mean"), F.percentile_approx("d", 0.5, 10_000).alias("median"),
+    )
+
+
+def described(df: DataFrame, columns: tuple[str, ...], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> DataFrame:
+    """(column, n, n_null, mean, sd, low, high, q..) in one pass; quantiles are within 1 / accuracy of their rank, in bounded memory."""
+    def one(c: str) -> Column:
+        v = F.col(c).cast("double")
+        q = F.percentile_approx(v, list(quantiles), accuracy)
+        return F.struct(F.count(v).alias("n"), (F.count(F.lit(1)) - F.count(v)).alias("n_null"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), q.alias("q")).alias(c)
+
+    row = df.agg(*[one(c) for c in columns])
+    flat = lambda c: F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`.{k}").alias(k) for k in ("n", "n_null", "mean", "sd", "low", "high")], *[F.col(f"`{c}`.q")[i].alias(f"q{round(q * 100)}") for i, q in enumerate(quantiles)])
+    return row.select(F.inline(F.array(*[flat(c) for c in columns])))
+
+
 def binned(df: DataFrame, y: str, p: str, width: float, most: float) -> DataFrame:
     k = F.least(F.floor(F.col(y) / width), F.lit(int(most // width)))
     return df.groupBy(k.cast("long").alias("bin")).agg(F.avg(y).alias("actual"), F.avg(p).alias("predicted"), F.count(F.lit(1)).alias("n"))

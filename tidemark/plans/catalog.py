@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import graph, joins, lineage, metrics, models, series, statistics
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from tidemark.plans.registry import query
+from tidemark.plans.registry import rounded as _rounded
 
 def _events(t) -> DataFrame:
     return lineage.previous_event(t("events"), "user_id", ("ts", "event_id"), ("event_type", "value", "ts"))
@@ -70,8 +58,7 @@ def safe_delay(t):
 
 @query("select a.event_id, round(avg(b.value), 6) as mean_24h from events a left join events b on b.user_id = a.user_id and b.ts <= a.ts - interval 2 hour and b.ts >= a.ts - interval 26 hour and b.event_id <> a.event_id group by a.event_id")
 def rolling_cutoff_mean(t):
-    e = t("events").filter("user_id is not null")
-    r = lineage.rolling_mean(e, "user_id", "ts", F.col("ts") - F.expr("interval 2 hours"), "value", 86400, "event_id", "m")
+    r = lineage.rolling_mean(t("events"), "user_id", "ts", F.col("ts") - F.expr("interval 2 hours"), "value", 86400, "m")
     return r.select("event_id", F.round("m", 6).alias("mean_24h"))
 
 
@@ -220,9 +207,26 @@ def pagerank_unweighted(t):
     return graph.pagerank(_heavy(t), weighted=False).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("with recursive b as (select c_custkey % 50 as src, (c_custkey % 50) * 3 % 50 as dst from customer), u as (select src, dst from b union select dst, src from b), r as (select src as id, src as root from u union select u.dst, r.root from r join u on u.src = r.id) select id, min(root) as component from r group by id")
+# orders hang on customers, suppliers and the customers of one segment on nations: hubs, stars and chains over whole tables
+COMPONENT_EDGES = "u as (select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer where c_mktsegment = 'BUILDING' union all select 'o' || o_orderkey, 'c' || o_custkey from orders union all select 's' || s_suppkey, 'n' || s_nationkey from supplier)"
+LABELS = f"with recursive {COMPONENT_EDGES}, v as (select src, dst from u union select dst, src from u), r as (select src as id, src as root from v union select v.dst, r.root from r join v on v.src = r.id), l as (select id, min(root) as component from r group by id)"
+
+
+def _labels(t) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = t("customer").filter("c_mktsegment = 'BUILDING'").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    e = e.union(t("orders").select(name("o", "o_orderkey"), name("c", "o_custkey"))).union(t("supplier").select(name("s", "s_suppkey"), name("n", "s_nationkey")))
+    return graph.components(e)
+
+
+@query(f"{LABELS} select id, component from l")
 def graph_components(t):
-    return graph.components(t("customer").select((F.col("c_custkey") % 50).alias("src"), ((F.col("c_custkey") % 50) * 3 % 50).alias("dst")))
+    return _labels(t)
+
+
+@query(f"{LABELS} select component, count(*) as n from l group by component")
+def component_sizes(t):
+    return graph.component_sizes(_labels(t))
 
 
 @query("select k as map_key, count(*) as n from events, unnest(json_keys(props)) as u(k) group by k")
@@ -236,12 +240,7 @@ FOLDS = "b as (select min(cast(o_orderdate as date)) as lo, max(cast(o_orderdate
 
 @query(f"with {FOLDS}, d as (select o_totalprice, least((cast(o_orderdate as date) - lo) // len, 3) as p from orders, b) select f as fold, count(*) filter (case when f = 3 then p < 3 else p = f - 1 end) as n_train, count(*) filter (p = f) as n_held from d, range(1, 4) as r(f) group by f")
 def fold_counts(t):
-    o = t("orders")
-    out = None
-    for i, f in enumerate(series.temporal_folds(o, "o_orderdate"), 1):
-        row = f.train.agg(F.count(F.lit(1)).alias("n_train")).crossJoin(f.held.agg(F.count(F.lit(1)).alias("n_held"))).select(F.lit(i).cast("long").alias("fold"), "n_train", "n_held")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return series.fold_sizes(t("orders"), "o_orderdate")
 
 
 def _predicted(t) -> DataFrame:
@@ -263,10 +262,6 @@ def _metric_sql(by: str) -> str:
     return f"with {PREDICTED} select {by} count(*) as n, round(sqrt(avg((p - y) * (p - y))), 6) as rmse, round(avg(abs(p - y)), 6) as mae, round(1 - avg((p - y) * (p - y)) / var_pop(y), 6) as r2, round(avg(abs(p - y) / greatest(abs(y), 1) * 100), 6) as mape, {cls(15, 'otpa')}, {cls(60, 'sddr')} from d" + (" group by l_returnflag" if by else "")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in df.dtypes])
-
-
 @query(_metric_sql(""))
 def regression_and_confusion_metrics(t):
     return _rounded(metrics.evaluate(_predicted(t), "y", "p"))
@@ -351,14 +346,38 @@ def date_range_filter(t):
     return t("orders").filter("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1998-01-01'").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+FOLD_LINES = f"""{FOLDS}, d as (select o_totalprice / 1000 as y, cast(o_custkey as double) as x, least((cast(o_orderdate as date) - lo) // len, 3) as p from orders, b),
+ l as (select f, regr_slope(y, x) as a, regr_intercept(y, x) as c from d, range(1, 4) as r(f) where case when f = 3 then p < 3 else p = f - 1 end group by f),
+ e as (select f, y, a * x + c as q from d join l on d.p = l.f)"""
+
+
+@query(f"with {FOLD_LINES} select cast(f as int) as fold, case f when 3 then 'TEST' else 'VAL' end as kind, count(*) as n, round(sqrt(avg((q - y) * (q - y))), 4) as rmse, round(avg(abs(q - y)), 4) as mae, round(avg(abs(q - y) / greatest(abs(y), 1) * 100), 4) as mape from e group by f")
 def lr_cross_validation(t):
-    df = t("orders").withColumn("y", F.col("o_totalprice") / 1000)
-    return models.cross_validate(lambda: models.pipeline("lr", "y", ["o_custkey"], ["o_orderpriority", "o_orderstatus"]), series.temporal_folds(df, "o_orderdate"), "y")
+    df = t("orders").select((F.col("o_totalprice") / 1000).alias("y"), F.col("o_custkey").cast("double").alias("x"), "o_orderdate")
+    cv = models.CrossValidation(lambda: models.pipeline("lr", "y", ["x"]), series.temporal_folds(df, "o_orderdate"), "y").fit()
+    return cv.results().select("fold", "kind", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "mape")])
+
+
+@query(f"with {FOLD_LINES}, m as (select f, sqrt(avg((q - y) * (q - y))) as rmse, avg(abs(q - y)) as mae from e group by f) select metric, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as sd, count(*) as folds from (select case f when 3 then 'TEST' else 'VAL' end as k, unnest(['rmse', 'mae']) as metric, unnest([rmse, mae]) as v from m) group by metric")
+def fold_summary(t):
+    df = t("orders").select((F.col("o_totalprice") / 1000).alias("y"), F.col("o_custkey").cast("double").alias("x"), "o_orderdate")
+    cv = models.CrossValidation(lambda: models.pipeline("lr", "y", ["x"]), series.temporal_folds(df, "o_orderdate"), "y")
+    s = metrics.fold_summary(cv.results().select("fold", "n", "rmse", "mae"), by=())
+    return s.select("metric", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "folds")
+
+
+@query("""with h as (select l_extendedprice / 1000 as y, l_quantity as a, l_discount as b, cast(l_shipdate as date) < date '1998-01-01' as train from lineitem),
+ m as (select regr_slope(y, a) as sa, regr_intercept(y, a) as ia, regr_slope(y, b) as sb, regr_intercept(y, b) as ib from h where train)
+ select count(*) as n, round(sqrt(avg((q - y) * (q - y))), 4) as rmse, round(avg(abs(q - y)), 4) as mae from (select y, (sa * a + ia + sb * b + ib) / 2 as q from h, m where not train)""")
+def voting_ensemble(t):
+    df = t("lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), "l_quantity", "l_discount", F.col("l_shipdate").cast("date").alias("day"))
+    made = models.VotingEnsemble(lambda: models.pipeline("lr", "y", ["l_quantity"]), lambda: models.pipeline("lr", "y", ["l_discount"])).fit(df.filter("day < date'1998-01-01'"))
+    return metrics.evaluate(made.transform(df.filter("day >= date'1998-01-01'")), "y", "prediction").select("n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
 
 
 @query()
 def forest_ensemble(t):
     df = t("lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
-    made = [models.pipeline("rf", "y", cols, numTrees=5, maxDepth=4, seed=1).fit(df) for cols in (["l_quantity", "l_discount"], ["l_quantity", "l_tax"])]
-    return metrics.evaluate(models.ensemble(df, made), "y", "prediction")
+    train, held = df.filter("l_orderkey % 5 <> 0"), df.filter("l_orderkey % 5 = 0")  # a split into learning and judging, not a cut of the table
+    made = [models.pipeline("rf", "y", cols, numTrees=5, maxDepth=4, seed=1).fit(train) for cols in (["l_quantity", "l_discount"], ["l_quantity", "l_tax"])]
+    return metrics.evaluate(models.ensemble(held, made), "y", "prediction")
