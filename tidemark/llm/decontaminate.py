@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import first_of_runs
-from tidemark.llm.textcore import ALNUM_LOWER, M2, U64, Words, buffers, groups, inside, mix, seeded, windows
+from tidemark.llm.textcore import ALNUM_LOWER, U64, Words, backward_hashes, buffers, groups, inside, windows
 
 #: Bytes of benchmark text in one broadcast.
 MAX_BYTES = 32 << 20
@@ -35,22 +35,6 @@ SPAN = "array<struct<start:bigint,end:bigint>>"
 FOUND = f"__words bigint, __spans {SPAN}, __items array<bigint>"
 
 
-def second(w: Words, at: np.ndarray) -> np.ndarray:
-    """An independent hash of chosen words: of their bytes read from the end."""
-    at_most = np.ndarray((max(len(w.raw) - 7, 0),), "<u8", buffer=w.raw, strides=(1,))
-    h = np.zeros(len(at), U64)
-    start, end = w.start[at], w.end[at]
-    todo, back = np.arange(len(at)), 0
-    while len(todo):
-        left = end[todo] - back - start[todo]
-        size = np.minimum(left, 8)
-        piece = at_most[end[todo] - back - size] & ((U64(1) << (size.astype(U64) * U64(8) % U64(64))) - U64(1) | np.where(size == 8, U64(0xFFFFFFFFFFFFFFFF), U64(0)))
-        h[todo] = mix(h[todo] * M2 + piece + size.astype(U64))
-        back += 8
-        todo = todo[left > 8]
-    return seeded(h, 41)
-
-
 class Index:
     """The n-grams of some items, by their number of words."""
 
@@ -58,7 +42,7 @@ class Index:
         ids = np.array([i for i, _ in items], np.int64)
         w = Words(*buffers(pa.array([t for _, t in items], pa.string())), ALNUM_LOWER)
         count = np.diff(w.first)
-        check = second(w, np.arange(len(w)))
+        check = backward_hashes(w, np.arange(len(w)))
         self.by_length = {}
         for k in sorted({min(n, int(c)) for c in count if c}):
             keys, owner, words = [], [], []
@@ -94,7 +78,7 @@ class Index:
             right = np.ones(len(i), bool)
             for j in range(k):
                 used, back = np.unique(i + j, return_inverse=True)
-                right &= second(w, used)[back] == word[entry, j]
+                right &= backward_hashes(w, used)[back] == word[entry, j]
             yield k, i[right], own[entry[right]]
 
 

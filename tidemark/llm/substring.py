@@ -1,57 +1,88 @@
 """Substring dedup by recompression.
 
-Every word has a 64-bit name.  Three rounds rename the sequence of each document: a fair coin that is a hash of the name
-says whether a symbol is a left or a right one, and each left symbol followed by a right symbol becomes one symbol whose
-name is a hash of both.  Whether two neighbours merge depends on these two alone, so equal word sequences are parsed
-alike but for at most 1 + 2 + 4 words at either end; names are hashes of content, so all tasks give the same names
-without talking to one another.  Runs of one symbol never merge among themselves and are not compressed.
-
-A window of 20 words that occurs twice has the same symbols over its words 7 to 12 in both places.  So only windows
-all of whose middle symbols occur elsewhere need looking at: tasks announce their symbols by name, repeated names come
-back to the documents, and only the windows that pass are compared, by a 64-bit hash of their word sequence: equality is
-by this hash, the words themselves are not compared.
-
-Rules for odd input: null texts have no words; rows without an id are left out; a window is a repeat if an equal one has
-a smaller (doc_id, start), so rows that share an id are judged as one document that is written twice, and each gives a
-row of its own.
+Every word has a 64-bit name, a hash of its bytes.  Three rounds rename the sequence of each document.  In each, first
+every maximal run of one symbol becomes a symbol named by it and the run's length; then a fair coin, a hash of the name,
+says whether a symbol is a left or a right one, and each left symbol followed by a right one becomes one symbol named by
+both.  Names are hashes of content, so all tasks give the same names without talking to one another, and what merges
+depends on neighbours alone: equal word sequences are parsed alike but for some symbols at either end.  How many is
+followed through the rounds for each place: the run at an end may be longer elsewhere, and a right symbol at the start
+or a left one at the end may have a partner outside.  What lies between is the interior.
+
+A window of 20 words that occurs twice has the same interior symbols in both places.  So tasks announce their symbols by
+name, repeated names come back to the documents, and only windows all of whose interior symbols occur elsewhere propose
+themselves (so do those without an interior).  Proposals are equal if two independent hashes of their words agree: one
+of 64 bits from the words' bytes read forwards, one of 32 bits from their bytes read backwards.  (The words themselves
+are not sent.  Among the 2e13 windows of 100 TB, 0.003 pairs of different windows would be taken as equal.)
+
+Rules for odd input: null texts have no words; a window is a repeat if an equal one has a smaller (doc_id, start); rows
+that share an id are judged each by its own words, and windows at the same start of such rows are in the same place;
+rows without an id have no place in the order: they lose nothing and make no other lose anything.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import EXCHANGE, bucket_count, chunked, doc_bucket, exchange_batch, first_of_runs, keyed, pack, pack_rows, scatter, table_rows, unpack, unpack_rows
-from tidemark.llm.textcore import M1, SPACED, U64, Words, buffers, groups, inside, mix, seeded, windows
+from tidemark.llm.common import EXCHANGE, bucket_count, chunked, doc_bucket, exchange_batch, first_of_runs, pack, pack_rows, scatter, table_rows, unpack, unpack_rows
+from tidemark.llm.textcore import M1, SPACED, U64, Words, backward_hashes, buffers, groups, inside, mix, seeded, windows
 
 ROUNDS = 3
-#: Words at either end of a window whose symbols may differ from place to place: 1 + 2 + 4.
-MARGIN = (1 << ROUNDS) - 1
-#: Shorter symbols are taken as repeated without asking; nearly all of them are.
-LEAST_SPAN = 3
+#: Symbols of fewer words are taken as repeated without asking; nearly all of them are.
+LEAST_SPAN = 2
 
 
-def parse(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names and start words of the symbols after all rounds; symbols don't cross documents."""
-    name, start = h, np.arange(len(h))
-    bound = np.zeros(len(h) + 1, bool)
-    bound[first] = True  # a document starts at this word
+def parse(h: np.ndarray, first: np.ndarray, bounds: bool = False) -> tuple[np.ndarray, ...]:
+    """Names and start words of the symbols after all rounds; symbols don't cross documents.
+
+    With `bounds` also, for each place among the words, where the interior of what starts there begins, and where the
+    interior of what ends there ends.
+    """
+    n = len(h)
+    name, start = h, np.arange(n)
+    fence = np.zeros(n + 1, bool)
+    fence[first] = True  # a document starts at this word
+    begin, end = np.arange(n + 1), np.arange(n + 1)
+
+    def shift(edge: np.ndarray, moves: np.ndarray) -> None:
+        """Interiors lose the symbol next to them where it `moves`; `edge` has all symbols' starts, and n."""
+        nonlocal begin, end
+        if bounds and n:
+            to = np.arange(n + 1, dtype=np.int64)
+            to[edge[:-1][moves[0]]] = edge[1:][moves[0]]
+            begin = to[begin]
+            to = np.arange(n + 1, dtype=np.int64)
+            to[edge[1:][moves[1]]] = edge[:-1][moves[1]]
+            end = to[end]
+
     for r in range(ROUNDS):
-        if len(name) < 2:
-            break
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | fence[start[1:]]
+        lead = np.flatnonzero(new)
+        size = np.diff(lead, append=len(name))
+        if bounds and n:  # any place inside a run moves to its end, or its start
+            edge = np.append(start[lead], n)
+            run = np.repeat(np.arange(len(lead)), np.diff(edge))
+            begin = np.append(edge[1:], n)[np.append(run, len(lead))][begin]
+            end = np.concatenate([[0], edge[run]])[end]
+        name, start = name[lead], start[lead]
+        many = size > 1
+        name[many] = mix(mix(name[many] * M1 + size[many].astype(U64)) + U64(0xA0 + r))
         left = (seeded(name, r) >> U64(63)) == 0
-        joins = left[:-1] & ~left[1:] & ~bound[start[1:]]
+        shift(np.append(start, n), (~left, left))
+        joins = left[:-1] & ~left[1:] & ~fence[start[1:]]
         keep = np.ones(len(name), bool)
         keep[1:] = ~joins
         at = np.flatnonzero(joins)
-        name = name.copy()
         name[at] = mix(mix(name[at] * M1 + U64(r + 1)) + name[at + 1])
         name, start = name[keep], start[keep]
-    return name, start
+    return (name, start, begin, end) if bounds else (name, start)
 
 
 def _emit_symbols(n_buckets: int, k: int):
@@ -62,16 +93,9 @@ def _emit_symbols(n_buckets: int, k: int):
             name, start = parse(w.hash, w.first)
             span = np.diff(start, append=len(w))
             doc = np.searchsorted(w.first, start, "right") - 1
-            long = np.diff(w.first)[doc] >= k
-            run = np.ones(len(name), bool)  # a run of one symbol is announced once
-            run[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-            again = ~run
-            some = (span >= LEAST_SPAN) & long & run
-            # a symbol that follows itself occurs twice for certain: announce it a second time
-            twice = np.flatnonzero(again & (span >= LEAST_SPAN) & long)
-            twice = twice[run[twice - 1]] if len(twice) else twice
-            names += [name[some], name[twice]]
-            docs += [ids[lo:hi][doc[some]], ids[lo:hi][doc[twice]]]
+            some = (span >= LEAST_SPAN) & (np.diff(w.first)[doc] >= k)
+            names.append(name[some])
+            docs.append(ids[lo:hi][doc[some]])
         name, doc = np.concatenate(names), np.concatenate(docs)
         order = np.lexsort((doc, name))
         name, doc = name[order], doc[order]
@@ -132,7 +156,13 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table.column("doc_id").to_numpy(), *buffers(table.column("text"))
 
 
-def _candidate_windows(k: int, n_buckets: int):
+def _tags(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """What tells rows of one id apart: a checksum of their bytes."""
+    data = memoryview(raw)
+    return np.array([zlib.crc32(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint32)
+
+
+def _candidate_windows(k: int, n_buckets: int, hash_bits: int):
     """Windows whose middle symbols are all repeated; the first of a kind in the bucket stands for the rest."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -142,13 +172,14 @@ def _candidate_windows(k: int, n_buckets: int):
             ids, raw, off = _texts(left)
             told_doc, told_name = unpack_rows(rows) if rows else (np.zeros(0, np.int64), np.zeros(0, U64))
             told = np.unique(mix(told_name ^ seeded(told_doc.view(U64), 9)))
-            hashes, docs, starts = [], [], []
+            parts: list[list[np.ndarray]] = []
+            tags = _tags(raw, off)
             for lo, hi in groups(off):
                 w = Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
                 n = len(w) - k + 1
                 if n <= 0:
                     continue
-                name, start = parse(w.hash, w.first)
+                name, start, begin, end = parse(w.hash, w.first, True)
                 span = np.diff(start, append=len(w))
                 doc = ids[lo:hi][np.searchsorted(w.first, start, "right") - 1]
                 key = mix(name ^ seeded(doc.view(U64), 9))
@@ -156,61 +187,64 @@ def _candidate_windows(k: int, n_buckets: int):
                 if len(told):
                     yes |= told[np.minimum(np.searchsorted(told, key), len(told) - 1)] == key
                 bad = np.concatenate([[0], np.cumsum(np.repeat(~yes, span))])
-                i = np.flatnonzero((bad[k - MARGIN : n + k - MARGIN] == bad[MARGIN : MARGIN + n]) & inside(w.first, k, len(w)))
+                x, y = begin[:n], end[k : k + n]
+                i = np.flatnonzero(((x >= y) | (bad[np.maximum(x, y)] == bad[x])) & inside(w.first, k, len(w)))
                 if not len(i):
                     continue
-                hashes.append(windows(w.hash, k)[i])
+                # the second hash, of words that some proposal covers
+                cover = np.zeros(len(w) + 1, np.int64)
+                np.add.at(cover, i, 1)
+                np.add.at(cover, i + k, -1)
+                used = np.flatnonzero(cover[:-1].cumsum())
+                back = np.zeros(len(w), U64)
+                back[used] = backward_hashes(w, used)
                 row = np.searchsorted(w.first, i, "right") - 1
-                docs.append(ids[lo:hi][row])
-                starts.append(i - w.first[row])
-            if hashes:
-                h, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-                order = np.lexsort((start, doc, h))
-                h, doc, start = h[order], doc[order], start[order]
-                lead = np.flatnonzero(first_of_runs(h))
-                size = np.diff(lead, append=len(h))
-                late = (doc != np.repeat(doc[lead], size)) | (start != np.repeat(start[lead], size))
+                parts.append([windows(w.hash, k)[i] >> U64(64 - hash_bits), (windows(back, k)[i] >> U64(32)).astype(np.uint32), ids[lo:hi][row], i - w.first[row], tags[lo:hi][row]])
+            if parts:
+                h, check, doc, start, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
+                lead, late = _earliest(h, check, doc, start)
                 send = lead[np.argsort(doc[lead], kind="stable")]
-                out += [(b, 0, p) for b, p in pack_rows(seeded(h[send], 78) % U64(n_buckets), n_buckets, doc[send], h[send], start[send])]
-                for b, p in _ranges(doc[late], start[late], n_buckets):
+                out += [(b, 0, p) for b, p in pack_rows(seeded(h[send], 78) % U64(n_buckets), n_buckets, doc[send], h[send], check[send], start[send], tag[send])]
+                for b, p in _ranges(doc[late], start[late], tag[late], n_buckets):
                     out.append((b, 1, p))
         return pa.Table.from_batches(list(chunked(out)) or [exchange_batch([])])
 
     return run
 
 
-def _ranges(doc: np.ndarray, start: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Window starts as (doc, from, length) runs."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    once = first_of_runs(doc, start)
-    doc, start = doc[once], start[once]
-    lead = np.flatnonzero(first_of_runs(doc, start - np.arange(len(start))))
-    yield from pack_rows(doc[lead] % n_buckets, n_buckets, doc[lead], start[lead], np.diff(lead, append=len(doc)))
+def _earliest(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first window of each kind, all that start later than it) by both hashes."""
+    order = np.lexsort((start, doc, check, h))
+    lead = np.flatnonzero(first_of_runs(h[order], check[order]))
+    size = np.diff(lead, append=len(order))
+    first = np.repeat(order[lead], size)
+    return order[lead], order[(doc[order] != doc[first]) | (start[order] != start[first])]
+
+
+def _ranges(doc: np.ndarray, start: np.ndarray, tag: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Window starts as (doc, from, length, tag) runs."""
+    order = np.lexsort((start, tag, doc))
+    doc, start, tag = doc[order], start[order], tag[order]
+    once = first_of_runs(doc, tag, start)
+    doc, start, tag = doc[once], start[once], tag[once]
+    lead = np.flatnonzero(first_of_runs(doc, tag, start - np.arange(len(start))))
+    yield from pack_rows(doc[lead] % n_buckets, n_buckets, doc[lead], start[lead], np.diff(lead, append=len(doc)), tag[lead])
 
 
 def _late_windows(doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        docs, starts, lengths = [], [], []
+        parts: list[list[np.ndarray]] = []
         if sent := table_rows(table, 0):
-            doc, h, start = unpack_rows(sent)
+            doc, h, check, start, tag = unpack_rows(sent)
             start = start.astype(np.int64)
-            order = np.lexsort((start, doc, h))
-            h, doc, start = h[order], doc[order], start[order]
-            lead = np.flatnonzero(first_of_runs(h))
-            size = np.diff(lead, append=len(h))
-            late = (doc != np.repeat(doc[lead], size)) | (start != np.repeat(start[lead], size))
-            docs.append(doc[late])
-            starts.append(start[late])
-            lengths.append(np.ones(int(late.sum()), np.int64))
+            _, late = _earliest(h, check, doc, start)
+            parts.append([doc[late], start[late], np.ones(len(late), np.int64), tag[late]])
         if known := table_rows(table, 1):
-            doc, start, length = unpack_rows(known)
-            docs.append(doc)
-            starts.append(start.astype(np.int64))
-            lengths.append(length.astype(np.int64))
-        if not docs:
+            parts.append(unpack_rows(known))
+        if not parts:
             return pa.Table.from_batches([exchange_batch([])])
-        return _by_doc(np.concatenate(docs), doc_buckets, np.concatenate(starts), np.concatenate(lengths))
+        doc, start, length, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return _by_doc(doc, doc_buckets, start.astype(np.int64), length.astype(np.int64), tag)
 
     return run
 
@@ -224,9 +258,10 @@ def _apply(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, raw, off = _texts(left) if left.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
         rows = table_rows(right, 0)
-        doc, start, length = unpack_rows(rows) if rows else [np.zeros(0, np.int64)] * 3
+        doc, start, length, tag = unpack_rows(rows) if rows else [np.zeros(0, np.int64)] * 4
         order = np.argsort(doc, kind="stable")
-        doc, start, length = doc[order], start[order].astype(np.int64), length[order].astype(np.int64)
+        doc, start, length, tag = doc[order], start[order].astype(np.int64), length[order].astype(np.int64), tag[order]
+        tags = _tags(raw, off)
         cols: list[list] = [[], [], [], []]
         for lo, hi in groups(off):
             w = Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED, hashed=False)
@@ -236,10 +271,9 @@ def _apply(k: int):
                 x, y = np.searchsorted(doc, ids[r]), np.searchsorted(doc, ids[r], "right")
                 cover = np.zeros(b - a + 1, np.int64)
                 if y > x:
-                    s, e = start[x:y], start[x:y] + length[x:y] + k - 1
-                    fit = e <= b - a  # rows that share an id may differ in length
-                    np.add.at(cover, s[fit], 1)
-                    np.add.at(cover, e[fit], -1)
+                    mine = np.flatnonzero(tag[x:y] == tags[r]) + x  # rows that share an id have other tags
+                    np.add.at(cover, start[mine], 1)
+                    np.add.at(cover, start[mine] + length[mine] + k - 1, -1)
                 gone = cover[:-1].cumsum() > 0
                 keep = np.flatnonzero(~gone) + a
                 kept = b" ".join([text[i:j] for i, j in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
@@ -253,18 +287,28 @@ def _apply(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256 and the removed word ranges [start, end).
 
-    A word is removed if a window of k words that covers it also starts earlier, at a smaller (doc_id, start).
+    A word is removed if a window of k words that covers it also starts earlier, at a smaller (doc_id, start).  Fewer
+    hash_bits make the first hash collide; the second one still tells windows apart.
     """
-    if k < 2 * MARGIN + 1:
-        raise ValueError(f"windows have {2 * MARGIN + 1} words at least")
-    base = keyed(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base, others = rows.filter("doc_id is not null"), rows.filter("doc_id is null").select("text")
     n = bucket_count(base, 4 << 20)
     names = scatter(base, _emit_symbols(n, k), n)
     replies = names.groupBy("bucket").applyInArrow(_repeated_symbols(n), EXCHANGE)
     texts = base.withColumn("bucket", doc_bucket(n)).groupBy("bucket")
-    sent = texts.cogroup(replies.groupBy("bucket")).applyInArrow(_candidate_windows(k, n), EXCHANGE)
+    sent = texts.cogroup(replies.groupBy("bucket")).applyInArrow(_candidate_windows(k, n, hash_bits), EXCHANGE)
     late = sent.groupBy("bucket").applyInArrow(_late_windows(n), EXCHANGE)
-    return texts.cogroup(late.groupBy("bucket")).applyInArrow(_apply(k), RESULT)
+    out = texts.cogroup(late.groupBy("bucket")).applyInArrow(_apply(k), RESULT)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.Table.from_batches([exchange_batch([])])
+        for batch in batches:
+            ids = pa.array(np.zeros(batch.num_rows, np.int64))
+            got = _apply(k)(pa.table({"doc_id": ids, "text": batch.column("text")}), none).drop_columns(["doc_id"])
+            yield from got.combine_chunks().to_batches()
+
+    alone = others.mapInArrow(untouched, RESULT.removeprefix("doc_id long, ")).select(F.lit(None).cast("long").alias("doc_id"), "*")
+    return out.unionByName(alone)

@@ -123,6 +123,22 @@ def word_hashes(padded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return h
 
 
+def backward_hashes(w: Words, at: np.ndarray) -> np.ndarray:
+    """An independent hash of chosen words: of their bytes read from the end."""
+    eight = np.ndarray((max(len(w.raw) - 7, 0),), "<u8", buffer=w.raw, strides=(1,))
+    h = np.zeros(len(at), U64)
+    start, end = w.start[at], w.end[at]
+    todo, back = np.arange(len(at)), 0
+    while len(todo):
+        left = end[todo] - back - start[todo]
+        size = np.minimum(left, 8)
+        piece = eight[end[todo] - back - size] & _LOW[size]
+        h[todo] = mix(h[todo] * M2 + piece + size.astype(U64))
+        back += 8
+        todo = todo[left > 8]
+    return seeded(h, 41)
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k consecutive word hashes, as if the words were one sequence; shorter than h by k - 1."""
     n = len(h) - k + 1
