@@ -11,20 +11,25 @@ they are learned from and are predicted like the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pack, unpack
+from tidemark.llm.common import pack, plan_bytes, unpack
 from tidemark.llm.textcore import Words, _table, buffers, groups
 
 BITS = 16
 #: Letters and everything beyond ASCII; what is left stands between words.
 LETTERS = _table({*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}, lower=True)
-STEPS = 6
+#: Steps end for a document once no proportion moves by more than TOLERANCE; STEPS bounds them.
+TOLERANCE, STEPS = 2e-3, 200
+#: Languages whose counts a task holds at once; beyond, what it has counted is sent on.
+HELD = 64
 #: Log-likelihood a further language must add, beside half the log of the number of words.
 PENALTY = 6.0
 
@@ -52,35 +57,48 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(languages, log probabilities [language, trigram]) from the labelled rows that aren't held out."""
     rows = docs.filter(~held_out(F.col(id_col), parts)).select(F.lower(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
 
+    def sparse(total: dict[str, np.ndarray], salt: int) -> pa.RecordBatch:
+        at = [np.flatnonzero(c) for c in total.values()]
+        payload = [pack(i.astype(np.uint16), c[i]) for i, c in zip(at, total.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(np.full(len(total), salt, np.int32)), pa.array(payload, pa.binary())], ["lang", "salt", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        salt = TaskContext.get().partitionId() % salts
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
+            names, which = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             raw, off = buffers(batch.column("text"))
             for lo, hi in groups(off):
                 w, code, first = trigrams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                ends = first[w.first]
-                for r in range(lo, hi):
-                    if langs[r] not in total:
-                        total[langs[r]] = np.zeros(1 << BITS, np.int64)
-                order = sorted(set(langs[lo:hi]))
-                which = np.repeat(np.searchsorted(order, langs[lo:hi].astype(str)), np.diff(ends))
-                got = np.bincount((which << BITS) + code, minlength=len(order) << BITS).reshape(-1, 1 << BITS)
-                for name, c in zip(order, got, strict=True):
-                    total[name] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([pack(c) for c in total.values()], pa.binary())], ["lang", "counts"])
+                ends = first[w.first]  # the first trigram of each row
+                for n in np.unique(which[lo:hi]):
+                    mine = [code[ends[r] : ends[r + 1]] for r in np.flatnonzero(which[lo:hi] == n)]
+                    c = np.bincount(np.concatenate(mine), minlength=1 << BITS)
+                    name = str(names[n])
+                    total[name] = total[name] + c if name in total else c
+                    if len(total) >= HELD:
+                        yield sparse(total, salt)
+                        total = {}
+        yield sparse(total, salt)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << BITS, np.int64)
         for b in table.column("counts"):
-            total += unpack(b.as_py())[0]
-        return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([pack(total)], pa.binary())})
-
-    # one row of a fixed size for each language and task; sums of a language's rows meet in one place
-    sums = rows.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").collect()
-    sums = sorted((r["lang"], unpack(r["counts"])[0]) for r in sums)
-    table = np.array([c for _, c in sums], np.float64).reshape(len(sums), 1 << BITS) + 0.5
-    return [name for name, _ in sums], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+            at, n = unpack(b.as_py())
+            total[at] += n
+        at = np.flatnonzero(total)
+        return pa.table({"lang": table.column("lang")[:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([pack(at.astype(np.uint16), total[at])], pa.binary())})
+
+    # a language's rows meet in `salts` places first, and those sums, which are of a fixed size, in one
+    salts = max(1, math.isqrt(math.ceil((plan_bytes(rows) or 0) / (64 << 20))))
+    kind = "lang string, salt int, counts binary"
+    sums = rows.mapInArrow(count, kind).groupBy("lang", "salt").applyInArrow(add, kind)
+    if salts > 1:
+        sums = sums.groupBy("lang").applyInArrow(add, kind)
+    dense = lambda b: np.bincount(unpack(b)[0], unpack(b)[1].astype(np.float64), 1 << BITS)
+    found = sorted(((r["lang"], dense(r["counts"])) for r in sums.collect()), key=lambda x: x[0])  # a table of fixed size for each language
+    table = np.array([c for _, c in found], np.float64).reshape(len(found), 1 << BITS) + 0.5
+    return [name for name, _ in found], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def mixture(ll: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -108,11 +126,22 @@ def mixture(ll: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.n
 
     def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pi = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(STEPS):
-            r = pi[doc] * like + 1e-300
+        live, words_, of, at = np.arange(len(open_)), like, doc, cut
+        for _ in range(STEPS):  # each document by itself: those that are done step out
+            old = pi[live]
+            r = old[of] * words_ + 1e-300
             r /= r.sum(axis=1, keepdims=True)
-            pi = np.add.reduceat(r, cut, axis=0) / size[open_][:, None] * allowed
-            pi /= pi.sum(axis=1, keepdims=True)
+            new = np.add.reduceat(r, at, axis=0) / size[open_[live]][:, None] * allowed[live]
+            new /= new.sum(axis=1, keepdims=True)
+            pi[live] = new
+            moves = np.abs(new - old).max(axis=1) > TOLERANCE
+            if not moves.any():
+                break
+            if not moves.all():
+                words_ = words_[moves[of]]
+                live = live[moves]
+                n_ = size[open_[live]]
+                of, at = np.repeat(np.arange(len(live)), n_), np.cumsum(n_) - n_
         return pi, np.add.reduceat(np.log((pi[doc] * like).sum(axis=1) + 1e-300), cut)
 
     pi, _ = em(np.ones((len(open_), k)))
