@@ -19,18 +19,68 @@ EXCHANGE = "bucket long, kind int, payload binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or our own where it is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir.  Only a local session, as in tests, may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = OWN_CHECKPOINTS
-    return at.rstrip("/")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (at or OWN_CHECKPOINTS).rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scratches:
+        _scratches[-1].paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_scratches: list[Scratch] = []
+
+
+class Scratch:
+    """Tables staged inside are deleted at the end but for those that are kept, which belong to the scratch around, if any."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        _scratches.append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table.staged_at)
+        return table
+
+    def __exit__(self, *_) -> None:
+        _scratches.remove(self)
+        for path in self.paths:
+            if path not in self.kept:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _scratches:
+            _scratches[-1].paths += self.kept
+
+
+def ids_shared(df: DataFrame, id_col: str) -> bool:
+    """Whether several rows have one id."""
+    ids = df.select(F.col(id_col).alias("i")).filter("i is not null")
+    return not ids.groupBy("i").count().filter("count > 1").limit(1).isEmpty()
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str, name: str = "__row") -> DataFrame:
+    """df with a number of its own for each row that has an id, in order of ids and texts; written, so that it stays the same."""
+    rows = df.sort(F.col(id_col).asc_nulls_last(), F.col(text_col))
+    return staged(rows.withColumn(name, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "numbered")
 
 
 def plan_bytes(df: DataFrame) -> int | None:

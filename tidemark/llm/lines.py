@@ -10,8 +10,8 @@ whether that one is itself removed or not.
 Equal lines are settled first: of equal sets in a batch only the first travels, and in a token's group again.
 
 Rules for odd input: lines end at line feeds; lines without words are never removed; null texts have no lines and stay
-null; rows without an id keep their text and take no part; rows that share an id are written over one another: each
-loses the lines that are removed at its id.
+null; rows without an id keep their text and take no part; rows that share an id are judged each by itself, in order of
+their texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_count, first_of_runs, keyed, pack, pack_rows, scatter, staged, table_rows, unpack, unpack_rows
+from tidemark.llm.common import Scratch, bucket_count, first_of_runs, ids_shared, keyed, numbered, pack, pack_rows, scatter, staged, table_rows, unpack, unpack_rows
 from tidemark.llm.pieces import ragged
 from tidemark.llm.textcore import SPACED_LOWER, U64, Words, buffers, groups, seeded
 
@@ -286,14 +286,31 @@ def _similar(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame
     return similar
 
 
+def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines of these numbers, in time that grows with their lengths."""
+    out = []
+    for t, numbers in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        if t is not None:
+            drop = set(numbers)
+            t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str | None = None, **kw) -> DataFrame:
     """docs with the repeated lines taken out of their texts; lines_col, if named, holds the removed line numbers."""
-    gone = staged(removed_lines(docs, id_col=id_col, text_col=text_col, **kw).groupBy(F.col("doc").alias("__gone_id")).agg(F.sort_array(F.collect_list("line")).alias("__gone")), "lines-removed")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    out = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone_id"), "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    with Scratch(docs.sparkSession) as scratch:
+        key, rows = id_col, docs
+        if ids_shared(docs, id_col):
+            key, rows = "__row", scratch.keep(numbered(docs, id_col, text_col))
+        found = removed_lines(rows, id_col=key, text_col=text_col, **kw)
+        gone = scratch.keep(staged(found.groupBy(F.col("doc").alias("__gone_id")).agg(F.sort_array(F.collect_list("line")).alias("__gone")), "lines-removed"))
+    out = rows.join(gone.hint("merge"), F.col(key) == F.col("__gone_id"), "left")
+    touched = F.when(F.col("__gone").isNotNull(), F.col(text_col))  # only these texts go to Python
+    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.arrow_udf(_cut, "string")(touched, F.col("__gone"))))
     if lines_col:
         out = out.withColumn(lines_col, F.coalesce("__gone", F.expr("cast(array() as array<bigint>)")))
-    return out.drop("__gone_id", "__gone")
+    return out.select(*docs.columns, *([lines_col] if lines_col else []))
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
