@@ -15,8 +15,9 @@
 Nothing is capped: whatever the bound can't rule out is verified by its true intersection and union.
 
 Rules for odd input: null texts and texts without words have an empty set and are linked with nothing; a text of fewer
-words than the shingle is one shingle; rows without an id are left out; rows that share an id form one node of the
-graph and each gives a row of its own.
+words than the shingle is one shingle; rows without an id are linked with nothing and have no class; rows that share an
+id form one node of the graph, with the links of all of them, and each gives a row of its own.  Where one document of
+each class is to stay, rows that share an id are told apart.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_count, first_of_runs, keyed, pack, pack_rows, scatter, staged, table_rows, unpack, unpack_rows
+from tidemark.llm.common import Scratch, bucket_count, first_of_runs, ids_shared, keyed, numbered, pack, pack_rows, scatter, staged, table_rows, unpack, unpack_rows
 from tidemark.llm.components import connected
 from tidemark.llm.textcore import SPACED_LOWER, U64, Words, buffers, groups, seeded, windows
 
@@ -260,7 +261,20 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """One row per document: doc_id, n_shingles and component_id, the smallest id reachable by links of similarity num / den or more."""
     if not 0 < num <= den:
         raise ValueError("the similarity is num / den, above 0 and at most 1")
-    base = keyed(docs, id_col, text_col)
+    with Scratch(docs.sparkSession) as scratch:
+        classes = scratch.keep(_classes(keyed(docs, id_col, text_col), k, num, den))
+    alone = docs.filter(F.col(id_col).isNull()).select(F.col(text_col).cast("string").alias("text"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [len(t) for _, t in shingle_sets(np.zeros(len(batch), np.int64), *buffers(batch.column("text")), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["n_shingles"])
+
+    none = F.lit(None).cast("long")
+    return classes.unionByName(alone.mapInArrow(sizes, "n_shingles long").select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))
+
+
+def _classes(base: DataFrame, k: int, num: int, den: int) -> DataFrame:
     n = bucket_count(base, 4 << 20)
     sent = scatter(base, _announce(k, num, den, n), n).groupBy("bucket").applyInArrow(_stars, "kind int, x long, y long, z long")
     sent = staged(sent, "jaccard-shared")
@@ -277,7 +291,7 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     # Matrix: only keys whose sets are in different groups.  The first time a key gives a forest over its groups, which
     # unites nearly all that belongs together; the second time every pair that passes is verified.
-    sketches = staged(texts.dropDuplicates(["doc_id"]).mapInArrow(_sketches(k), "s_id long, n long, held binary, parity binary"), "jaccard-sketches")
+    sketches = staged(texts.mapInArrow(_sketches(k), "s_id long, n long, held binary, parity binary").distinct(), "jaccard-sketches")  # of each text of an id
     final = groups_
     for whole in (False, True):
         placed = shared.select("key", "doc").join(final, shared["doc"] == final["id"], "left").select("key", "doc", F.coalesce("component", "doc").alias("g"))
@@ -291,10 +305,15 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         opened = rows.groupBy("bucket").applyInArrow(_open_groups(num, den, whole), "a long, b long").distinct()
         links = staged(links.unionByName(verified(opened.join(pairs, ["a", "b"], "left_anti"), texts, k, num, den)), "jaccard-links")
         final = staged(connected(links), "jaccard-groups")
-    return meta.join(final, meta["doc_id"] == final["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents that are the smallest of their class, with all their columns; rows without an id stay."""
-    late = similar_classes(docs, id_col=id_col, **kw).filter("component_id <> doc_id").select(F.col("doc_id").alias("__late_id")).distinct()
-    return docs.join(late, F.col(id_col) == F.col("__late_id"), "left_anti")
+    return staged(meta.join(final, meta["doc_id"] == final["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "jaccard-classes")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One document of each class, that of the smallest id, with all its columns; rows without an id stay."""
+    with Scratch(docs.sparkSession) as scratch:
+        key, rows = id_col, docs
+        if ids_shared(docs, id_col):
+            key, rows = "__row", scratch.keep(numbered(docs, id_col, text_col))
+        classes = similar_classes(rows, id_col=key, text_col=text_col, **kw)
+        late = scratch.keep(staged(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__late_id")).distinct(), "jaccard-late"))
+    return rows.join(late, F.col(key) == F.col("__late_id"), "left_anti").select(*docs.columns)
