@@ -15,8 +15,8 @@ more than a tile of vectors are dealt into pairs of tiles, each a task of its ow
 one place; within a tile the cosines are one matrix product.
 
 Rules for odd input: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows
-whose label is null; vectors of different lengths don't link; rows without an id are left out; rows that share an id
-are different vectors of one node: links among them don't count for themselves.
+whose label is null; vectors of different lengths don't link; rows without an id link with nothing, have no component
+and are not kept; rows that share an id are different vectors of one node: links among them don't count for themselves.
 """
 
 from __future__ import annotations
@@ -197,7 +197,8 @@ def near_links(vectors: DataFrame, least: float = 0.98, each: int = FILTERS_EACH
     # single precision is carried as it is; cosines are computed in double precision from the given components
     kind = "float" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "double"
     dtype = "<f4" if kind == "float" else "<f8"
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"), F.xxhash64(F.col(label_col).cast("string")).alias("label"), F.col(label_col).isNotNull().alias("ok")).filter("vec_id is not null")
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"), F.xxhash64(F.col(label_col).cast("string")).alias("label"), F.col(label_col).isNotNull().alias("ok"))
+    nameless, base = base.filter("vec_id is null"), base.filter("vec_id is not null")
     usable = base.filter("ok and size(v) > 0").filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).drop("ok")
     # one row for each vector length
     sizes = {r["dim"]: r["count"] for r in usable.groupBy(F.size("v").alias("dim")).count().collect()}
@@ -214,6 +215,7 @@ def near_links(vectors: DataFrame, least: float = 0.98, each: int = FILTERS_EACH
     found = staged(placed.groupBy("bucket").applyInArrow(_tile_links(least, dtype), "kind int, a long, b long"), "cap-links")
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("c_id")).agg(F.sum("b").alias("n"))
     parts = connected(found.filter("kind = 1").select("a", "b"))
+    base = base.unionByName(nameless)
     out = base.select("vec_id").join(counts, F.col("vec_id") == F.col("c_id"), "left").join(parts, F.col("vec_id") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
