@@ -57,3 +57,21 @@ def test_components_of_chains_and_hubs(spark):
     got = dict(map(tuple, connected(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()))
     ids = {x for a, b in links if a != b for x in (a, b)}
     assert got == components(ids, [(a, b) for a, b in links if a != b])
+
+
+def test_shared_ids_keep_the_links_of_all_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = lambda t: t.replace("30", "x")
+    rows = [(5, a), (5, b), (1, near(a) + " z"), (2, near(b) + " z"), (9, "alone"), (None, a), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as component", "2 as key", "3 as n", "4 as g")
+    out = sorted((tuple(r) for r in similar_classes(df, 3, 80, 100).collect()), key=str)
+    assert out == sorted([(5, 58, 1), (5, 58, 1), (1, 59, 1), (2, 59, 1), (9, 1, 9), (None, 58, None), (None, 0, None)], key=str)
+    kept = one_of_each(df, k=3, num=80, den=100)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"][:2] if r["text"] else None) for r in kept.collect()), key=str) == sorted([(1, "a0"), (2, "b0"), (9, "al"), (None, "a0"), (None, None)], key=str)
+
+
+def test_a_megabyte_of_text(spark):
+    text = " ".join(str(i * 7919 % 100_003) for i in range(150_000))
+    out = {r["doc_id"]: r["component_id"] for r in similar_classes(spark.createDataFrame([(4, text), (6, text + " more"), (8, "other words here")], "doc_id long, text string"), 3, 90, 100).collect()}
+    assert out == {4: 4, 6: 4, 8: 8}

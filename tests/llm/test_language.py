@@ -1,5 +1,9 @@
+import re
+import zlib
+
 import numpy as np
 
+from tidemark.llm import language
 from tidemark.llm.language import identified, learn, mixture, predict
 
 
@@ -49,3 +53,40 @@ def test_a_text_does_not_depend_on_its_neighbours():
     alone = mixture(ll, np.array([0, 80]))[0]
     assert np.allclose(alone, mixture(np.concatenate([ll, pair]), np.array([0, 80, 140]))[0])
     assert (alone > 0).sum() == 3
+
+
+def test_counts_of_many_labels_equal_plain_python(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    rnd = random.Random(1)
+    rows = [(i, " ".join("".join(rnd.choice("abcéxyz") for _ in range(rnd.randint(1, 6))) for _ in range(8)) + " 12!", f"l{i % 150}" if i % 5 else "en") for i in range(400)] + [(9000, None, "en"), (9001, "", "zz"), (9002, "abc", None)]
+    names, table = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    want = defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang is None or t is None or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        want[lang]
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", t.lower().encode()):
+            b = b" " + w + b" "
+            for k in range(1, len(b) - 1):
+                want[lang][((b[k - 1] << 16 | b[k] << 8 | b[k + 1]) * 2654435761 & 0xFFFFFFFF) >> 16] += 1
+    assert names == sorted(want)
+    for name, row in zip(names, table, strict=True):
+        c = np.array([want[name][k] for k in range(1 << 16)]) + 0.5
+        assert np.abs(row - np.log(c / c.sum())).max() < 1e-4
+
+
+def test_proportions_are_a_fixed_point_and_hang_on_the_text_alone():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 60, 40)
+    first = np.concatenate([[0], np.cumsum(size)])
+    ll = rng.normal(-20, 6, (first[-1], 5)).astype(np.float32)
+    out = language.mixture(ll, first)
+    for d in range(40):
+        part = ll[first[d] : first[d + 1]]
+        alone = language.mixture(part, np.array([0, len(part)]))[0]
+        assert np.abs(alone - out[d]).max() < 1e-6
+        like = np.exp((part - part.max(axis=1, keepdims=True)).astype(float)) * out[d]
+        again = (like / like.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert abs(out[d].sum() - 1) < 1e-9 and np.abs(again - out[d]).max() < 2 * language.TOLERANCE

@@ -44,3 +44,11 @@ def test_columns_ids_and_empty(spark):
     assert out.columns == df.columns
     assert {r["line"]: r["text"] for r in out.collect()} == {1: "a b c\nd", 2: "new", 3: "d"}
     assert digest(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_are_judged_apart_and_many_lines_take_linear_time(spark):
+    df = spark.createDataFrame([(3, "a b c\nd e f"), (3, "x y z\nd e f"), (2, "x y z")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in without_repeats(df).collect()) == [(2, "x y z"), (3, ""), (3, "a b c\nd e f")]
+    text = "\n".join(f"line {i // 2} w{i // 2}" for i in range(60_000))
+    row = digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_lines"] == 60_000 and row["n_removed"] == 30_000
