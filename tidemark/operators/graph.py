@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import lookups
@@ -38,27 +38,38 @@ def dangling(edges: DataFrame) -> DataFrame:
     return degrees(edges).filter("out_degree = 0").select("id")
 
 
-def pagerank(edges: DataFrame, reset: float = 0.15, iterations: int = 10, weighted: bool = True, normalize: bool = True, stage_every: int = 2) -> DataFrame:
-    """(id, rank): reset / N + (1 - reset) (sum of shares + dangling mass / N); ranks sum to 1, or to N without normalize."""
-    edges = staged(edges.select("src", "dst", "weight") if weighted else edges.select("src", "dst").distinct().withColumn("weight", F.lit(1)))
+def pagerank(edges: DataFrame, reset: float = 0.15, iterations: int = 10, weighted: bool = True, normalize: bool = True) -> DataFrame:
+    """(id, rank): reset / N + (1 - reset) (sum of shares + dangling mass / N); ranks sum to 1, or to N without normalize.
+
+    A round is one join and one aggregation: each node has a share of 0 to itself, so all come out of it.  Its result is
+    written to the shared folder, and the dangling mass is observed on the way.
+    """
+    edges = edges.select("src", "dst", "weight") if weighted else edges.select("src", "dst").distinct().withColumn("weight", F.lit(1))
+    edges = staged(edges)
     out = edges.groupBy(F.col("src").alias("from")).agg(F.sum("weight").alias("total"))
-    shares = staged(edges.join(out, F.col("src") == F.col("from")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = staged(degrees(edges).select("id", (F.col("out_degree") == 0).alias("dangling")))
-    n, sinks = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    before = None
-    for k in range(iterations if n else 0):
-        given = shares.join(ranks, shares["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        new = nodes.join(given, nodes["id"] == given["dst"], "left")
-        if sinks:
-            new = new.crossJoin(F.broadcast(ranks.filter("dangling").agg(F.sum("rank").alias("lost"))))  # one row
-        ranks = new.select("id", "dangling", (reset / n + (1 - reset) * (F.coalesce("given", F.lit(0.0)) + (F.col("lost") / n if sinks else 0.0))).alias("rank"))
-        if (k + 1) % stage_every == 0 and k + 1 < iterations:
-            ranks = staged(ranks)
-            if before is not None:
-                unstaged(before)
-            before = ranks
+    shares = edges.join(out, F.col("src") == F.col("from")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), F.lit(None).cast("boolean").alias("sink"))
+    itself = degrees(edges).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share"), (F.col("out_degree") == 0).alias("sink"))
+    shares = staged(shares.unionByName(itself))
     unstaged(edges)
+    n, sinks = shares.filter("sink is not null").agg(F.count_distinct("dst"), F.count_if("sink")).first()
+    if not n:
+        return shares.select(F.col("dst").alias("id"), F.lit(0.0).alias("rank"))
+    ranks, lost, before = shares, sinks / n, None
+    for k in range(max(iterations, 0)):
+        # the first round starts from equal ranks
+        given = F.col("share") / n if k == 0 else F.col("share") * F.col("rank")
+        sent = shares if k == 0 else shares.join(ranks.select("id", "rank"), F.col("src") == F.col("id"))
+        new = sent.groupBy(F.col("dst").alias("node")).agg((reset / n + (1 - reset) * (F.sum(given) + lost / n)).alias("rank"), F.max("sink").alias("sink")).withColumnRenamed("node", "id")
+        seen = Observation()
+        ranks = staged(new.observe(seen, F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost")))
+        lost = seen.get["lost"]
+        if before is not None:
+            unstaged(before)
+        before = ranks
+    if before is None:
+        ranks = shares.filter("sink is not null").select(F.col("dst").alias("id"), F.lit(1.0 / n).alias("rank")).distinct()
+    else:
+        unstaged(shares)
     return ranks.select("id", (F.col("rank") * (1 if normalize else n)).alias("rank"))
 
 
