@@ -115,7 +115,7 @@ def _announce(freq, num: int, den: int, n_buckets: int):
         who = np.repeat(lead, size)
         t = seeded(token[np.repeat(first[lead], size) + pos], 34)
         bucket = t % U64(n_buckets)
-        yield from ((b, ENTRY, p) for b, p in pack_rows(bucket, n_buckets, doc[who], (t >> U64(32)).astype(np.uint32), print_[who].astype(np.uint32), np.where(n[who] > WIDE, 0, print_[who] >> U64(32)).astype(np.uint32), bits[who], *(x[who] for x in wide), number[who], n[who], pos))
+        yield from ((b, ENTRY, p) for b, p in pack_rows(bucket, n_buckets, doc[who], (t >> U64(48)).astype(np.uint16), (t >> U64(40)).astype(np.uint8), print_[who].astype(np.uint32), np.where(n[who] > WIDE, 0, print_[who] >> U64(32)).astype(np.uint32), bits[who], *(x[who] for x in wide), number[who], n[who], pos))
 
     return emit
 
@@ -131,7 +131,8 @@ def _candidates(num: int, den: int):
             out.append([np.full(len(doc), PASSED, np.int32), doc, line, doc, line, np.zeros(len(doc), np.int64)])
         rows = table_rows(table, ENTRY)
         if rows:
-            doc, token, low, high, bits, w1, w2, w3, line, n, pos = unpack_rows(rows)
+            doc, token, more, low, high, bits, w1, w2, w3, line, n, pos = unpack_rows(rows)
+            token = token.astype(np.uint32) << np.uint32(8) | more  # tokens of a bucket that share 24 bits only add candidates
             print_ = np.where(n > WIDE, bits ^ seeded(low.astype(U64), 35) ^ seeded(w1, 36), low.astype(U64) | high.astype(U64) << U64(32))
             line, n, pos = line.astype(np.int64), n.astype(np.int64), pos.astype(np.int64)
             order = np.lexsort((line, doc, print_, n, token))
