@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             raw, off = buffers(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             pred, score, mix_names, mix_parts = [], [], [], []
-            for lo, hi in groups(off):
+            for lo, hi in groups(off, 1 << 20):
                 w, code, first = trigrams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 ll = np.add.reduceat(held.value[code], first[:-1], axis=0) if len(w) else np.zeros((0, len(names)), np.float32)
                 pi = mixture(ll, w.first, penalty)
@@ -198,7 +198,7 @@ def determined(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: s
         for batch in batches:
             keep = batch.column(width + 1).to_numpy(zero_copy_only=False).astype(bool)
             raw, off = buffers(batch.column(width))
-            for lo, hi in groups(off):
+            for lo, hi in groups(off, 1 << 20):
                 w, code, first = trigrams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 ll = np.add.reduceat(held.value[code], first[:-1], axis=0) if len(w) else np.zeros((0, len(names)), np.float32)
                 keep[lo:hi] &= mixture(ll, w.first, penalty).any(axis=1)
