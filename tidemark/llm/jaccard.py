@@ -156,13 +156,13 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     """The rows (a, b) of distinct pairs whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for side in ("ta", "tb"):
-                sides.append([s for _, s in shingle_sets(np.zeros(len(batch), np.int64), *buffers(batch.column(side)), k)])
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)], np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array((both * den >= num * (total - both)) & (both > 0)))
+        for whole in batches:
+            for lo in range(0, len(whole), 500):  # the sets of so many pairs are held at once
+                batch = whole.slice(lo, 500)
+                sides = [[s for _, s in shingle_sets(np.zeros(len(batch), np.int64), *buffers(batch.column(side)), k)] for side in ("ta", "tb")]
+                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)], np.int64)
+                total = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array((both * den >= num * (total - both)) & (both > 0)))
 
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
