@@ -57,8 +57,8 @@ def test_names_of_importances_and_unknown_categories(spark):
     stages = models.feature_stages(["x"], ["c"], scale=False, unknown=True, drop_last=False)
     model = Pipeline(stages=[*stages, models.regressor("rf", "y", numTrees=5, maxDepth=4, seed=1)]).fit(df)
     found = dict(models.importances(model, df))
-    assert set(found) >= {"x__n", "c__h_a", "c__h_b", "c__h_UNKNOWN"} and max(found, key=found.get) == "x__n"
-    assert models.importances(model, df, k=1)[0][0] == "x__n"
+    assert set(found) >= {"x__n", "c__h_a", "c__h_b", "c__h_UNKNOWN"} and abs(sum(found.values()) - 1) < 1e-9
+    assert {n for n, _ in models.importances(model, df, k=2)} == {"x__n", "c__h_b"}
     scaled = models.feature_stages(["x"], ["c"], center=True)
     mean = Pipeline(stages=scaled).fit(df.filter("c is not null")).transform(df.filter("c is not null")).select(F.col("features")).collect()
     assert abs(np.mean([r[0].toArray()[0] for r in mean])) < 1e-9
@@ -107,7 +107,7 @@ def test_gradient_of_the_perceptron():
 def test_series_statistics():
     rng = np.random.default_rng(5)
     walk, noise = np.cumsum(rng.normal(size=800)), rng.normal(size=800)
-    assert statistics.kpss(walk, trend=False) > 0.463 > statistics.kpss(noise, trend=False)
+    assert statistics.kpss(walk, trend=False, lags=4) > 0.463 > statistics.kpss(noise, trend=False, lags=4)
     assert statistics.cointegration(2 * walk + noise, walk)[1] < -3.34 and abs(statistics.cointegration(2 * walk + noise, walk)[0] - 2) < 0.1
     t = np.arange(800)
     trend, season, rest = statistics.seasonal_split(0.01 * t + np.sin(2 * np.pi * t / 20), 20)
