@@ -114,6 +114,21 @@ def either_key_best(left: DataFrame, right: DataFrame, pairs: tuple[tuple[str, s
     return out.select(*left.columns, *[F.col(f"__best.c{j}").alias(c) for j, c in enumerate(cols)])
 
 
+def either_key_least(left: DataFrame, right: DataFrame, pairs: tuple[tuple[str, str], ...], left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id): of the right ids that agree in any pair the least, once for each left id that has a partner; null comes last.
+
+    The least right id of each key is found before the join, so a key with many rows on both sides makes no pairs.
+    """
+    out, names = left.select(F.col(left_id).alias("__id"), *[F.col(a).alias(f"__a{i}") for i, (a, _) in enumerate(pairs)]), []
+    for i, (_, b) in enumerate(pairs):
+        least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"__k{i}")).agg(F.min(right_id).alias(f"__r{i}"), F.lit(True).alias(f"__b{i}"))
+        out = out.join(least, F.col(f"__a{i}") == F.col(f"__k{i}"), "left")
+        names.append(f"__b{i}")
+    found = out.filter(F.coalesce(*names, F.lit(False)))
+    least = F.array_min(F.array(*[F.col(f"__r{i}") for i in range(len(pairs))]))  # nulls are passed over
+    return found.groupBy(F.col("__id").alias(left_id)).agg(F.min(least).alias(right_id))
+
+
 def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 

@@ -79,8 +79,7 @@ def nearest_by_range(t):
 
 @query("select c_custkey, s_suppkey from (select c_custkey, s_suppkey, row_number() over (partition by c_custkey order by s_suppkey) as rn from customer join supplier on c_custkey = s_suppkey or c_nationkey = s_nationkey) where rn = 1")
 def or_join_dedup(t):
-    both = joins.either_key_join(t("customer"), t("supplier"), (("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey")), "c_custkey", "s_suppkey")
-    return joins.best_row(both, ("c_custkey",), F.col("s_suppkey"))
+    return joins.either_key_least(t("customer"), t("supplier"), (("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey")), "c_custkey", "s_suppkey")
 
 
 @query("select cn.n_name as customer_nation, sn.n_name as supplier_nation, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey left join nation cn on cn.n_nationkey = c_nationkey left join nation sn on sn.n_nationkey = s_nationkey group by all")
