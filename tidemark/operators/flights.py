@@ -130,11 +130,13 @@ def with_fill(df: DataFrame) -> DataFrame:
 def add_lineage_features(df: DataFrame, rolling: bool = False, tail: str | None = None) -> DataFrame:
     """All features in one call; with `rolling` also the mean delays of the aircraft and the origin over three spans."""
     tail = tail or resolve_column(df, TAILS, "tail")
+    if rolling:  # flights are numbered as they come, so that the means are found from a few columns and the features computed once
+        df = staged(df.withColumn("__flight", F.monotonically_increasing_id()))
     out = with_fill(with_required(with_safe(with_leaks(with_times(with_previous(df, tail))))))
     if rolling:
-        out = staged(out)  # the rolling means read each row twice: the features are not computed again for that
         for entity, name in ((tail, "tail"), ("origin", "origin")):
-            out = rolling_means(out, entity, "scheduled_departure", F.col("prediction_cutoff"), "dep_delay", {f"{name}_mean_delay_{k}": s for k, s in SPANS.items()})
+            out = rolling_means(out, entity, "scheduled_departure", F.col("prediction_cutoff"), "dep_delay", {f"{name}_mean_delay_{k}": s for k, s in SPANS.items()}, "__flight")
+        out = out.drop("__flight")
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import staged
+
 CUTOFF_SECONDS = 2 * 3600
 #: What stands in for a missing previous event.
 DEFAULTS = {"prev_delay": -10.0, "avg_previous_delay": 9.37, "cumulative_delay": 0.0, "max_delay": 0.0, "rotation_minutes": 1440.0, "required_minutes": 120.0}
@@ -68,29 +70,37 @@ def imputed(df: DataFrame, defaults: dict[str, float] = DEFAULTS) -> DataFrame:
     return df.fillna({c: v for c, v in defaults.items() if c in df.columns})
 
 
-def rolling_means(df: DataFrame, entity: str, ts: str, cutoff: Column, value: str, spans: dict[str, int]) -> DataFrame:
+def rolling_means(df: DataFrame, entity: str, ts: str, cutoff: Column, value: str, spans: dict[str, int], number: str | None = None) -> DataFrame:
     """For each name of `spans` the mean of the value over the entity's events in (cut-off - seconds .. cut-off), the row itself left out; null if none.
 
-    Each row gives an event (at its time) and a probe (at its cut-off, with all its columns); range frames over one sort
-    serve all spans, the rows are read once, and nothing is joined back.  Rows without an entity have null.
+    Time is cut into cells of a span's length, so a frame is the end of one cell and the beginning of the next.  Each row
+    gives an event and a probe to both kinds of cells, which are read by running sums from their far ends: no frame is
+    added up anew for each row, nothing is subtracted but the row itself, and only numbers are sorted.  The two halves and
+    the rows meet by the rows' number: the column `number`, which must be the same whenever df is read; else the rows are
+    written with one.  Rows without an entity have null.
     """
+    rows = df.withColumn("__row", F.col(number)) if number else staged(df.withColumn("__row", F.monotonically_increasing_id()))
     at, cut = F.unix_micros(F.col(ts).cast("timestamp")), F.unix_micros(cutoff.cast("timestamp"))
-    v = F.col(value).cast("double")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = df.select(F.col(entity).alias("__e"), F.when(F.col(entity).isNull(), F.monotonically_increasing_id()).alias("__alone"), at.alias("__at"), cut.alias("__cut"), v.alias("__v"), row.alias("__row"))
-    probe = F.struct(F.col("__cut").alias("t"), none("double").alias("v"), F.col("__at").alias("at"), F.col("__v").alias("own"), F.col("__row").alias("row"))
-    event = F.struct(F.col("__at").alias("t"), F.col("__v").alias("v"), none("bigint").alias("at"), none("double").alias("own"), none(rows.schema["__row"].dataType).alias("row"))
-    both = rows.select("__e", "__alone", F.inline(F.array(probe, event))).filter("row is not null or (v is not null and t is not null)")
-    made = {}
-    for name, seconds in spans.items():
+    one = rows.select("__row", F.col(entity).alias("__e"), at.alias("__at"), cut.alias("__cut"), F.col(value).cast("double").alias("__v")).filter("__e is not null")
+    places = []
+    for k, seconds in enumerate(spans.values()):
         span = seconds * 1_000_000
-        w = Window.partitionBy("__e", "__alone").orderBy("t").rangeBetween(-span, 0)
-        own = F.col("at").between(F.col("t") - span, F.col("t")) & F.col("own").isNotNull()
-        n = F.count("v").over(w) - F.when(own, 1).otherwise(0)
-        total = F.sum("v").over(w) - F.when(own, F.col("own")).otherwise(0.0)
-        made[f"__{name}"] = F.when(F.col("t").isNotNull() & (n > 0), total / n)
-    return both.withColumns(made).filter("row is not null").select("row.*", *[F.col(f"__{name}").alias(name) for name in spans])
+        cell = lambda t, span=span: t - F.pmod(t, F.lit(span))
+        for side, sign, since in ((0, 1, F.col("__cut")), (1, -1, F.col("__cut") - span)):
+            of = lambda t, row, v, kind=2 * k + side, sign=sign, cell=cell: F.struct(F.lit(kind).alias("kind"), cell(t).alias("cell"), (t * sign).alias("t"), row.alias("probe"), v.alias("v"))
+            places += [of(F.col("__at"), F.lit(None).cast("long"), F.col("__v")), of(since, F.col("__row"), F.lit(None).cast("double"))]
+    both = one.select("__e", F.inline(F.array(*places))).filter("t is not null and (probe is not null or v is not null)")
+    w = Window.partitionBy("__e", "kind", "cell").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    halves = both.withColumns({"n": F.count("v").over(w), "s": F.sum("v").over(w)}).filter("probe is not null and n > 0")
+    sums = halves.groupBy("probe").agg(*[F.sum(F.when(F.col("kind").isin(2 * k, 2 * k + 1), F.col(c))).alias(f"__{c}{k}") for k in range(len(spans)) for c in ("n", "s")])
+    made = {}
+    for k, (name, seconds) in enumerate(spans.items()):
+        own = at.between(cut - seconds * 1_000_000, cut) & F.col(value).isNotNull()
+        n = F.col(f"__n{k}") - F.when(own, 1).otherwise(0)
+        total = F.col(f"__s{k}") - F.when(own, F.col(value).cast("double")).otherwise(0.0)
+        made[name] = F.when(n > 0, total / n)
+    out = rows.join(sums, F.col("__row") == F.col("probe"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[m.alias(name) for name, m in made.items()])
 
 
 def rolling_mean(df: DataFrame, entity: str, ts: str, cutoff: Column, value: str, seconds: int, name: str) -> DataFrame:
