@@ -86,3 +86,23 @@ def test_a_megabyte_of_text(spark):
     docs = [(1, "a b c d " * 125_000), (2, "z" * 1_000_000), (3, "q r " * 10)]
     out = {r["doc_id"]: r for r in scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out[1]["n_tokens"] == 500_001 and out[2]["n_tokens"] == 2 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out.values())
+
+
+def test_guesses_do_not_hang_on_the_number_of_buckets():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tidemark.llm import lmscore as L
+
+    codes = SimpleNamespace(value=L.Codes(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1))
+
+    def keys(bucket, n_buckets):
+        texts = [f"of the w{i} x" for i in range(300)]
+        table = pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": texts, "h": pa.array(range(300), pa.int64()), "learn": [True] * 300, "bucket": [bucket] * 300})
+        out = L._ask(codes, n_buckets)(table).to_pydict()
+        sent = [L.unpack(p) for kind, p in zip(out["kind"], out["payload"], strict=True) if kind == 0]
+        return sorted(int(k) for _, lead, low, high, _, _ in sent for k in np.concatenate([lead, lead + np.cumsum(high.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64))]))
+
+    assert keys(0, 1000) == keys(1, 1000)  # all texts ask the same place about "of the"
+    assert max(Counter(keys(0, 1000)).values()) > 295
